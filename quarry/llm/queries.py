@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, minhash, packing, simhash, warc, wordpiece
+from quarry.llm import bpe, class_lm, exact_dedup, minhash, packing, simhash, toxicity, warc, wordpiece
 from quarry.llm.common import materialize, scratch_path, table
 
 
@@ -14,6 +15,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    lexicon = toxicity.learn(toxicity.sample(docs, table(spark, sf_dir, "labels"), part != 1))
+    found = toxicity.scored(docs, lexicon)
+    return found.select("doc_id", (part == 1).alias("held_out"), "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +47,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model, counts = class_lm.train(docs.where(~held_out))
+    found = class_lm.score(docs, model, counts, mark=held_out)
+    return found.select("doc_id", F.col("mark").alias("held_out"), "n_tokens", "n_known", F.lit(model.items.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
