@@ -1,8 +1,69 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences.
 
+``STAGES`` lists the stages in order.  Each takes ``(spark, docs, sf_dir)`` and
+works on all that its predecessor kept; all but the last return the columns of
+``documents``.  Between stages the rows are written as Parquet in the
+session's shared folder, so a lost executor costs no earlier stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import exact_dedup, packing, pii, simhash, toxicity
+from quarry.llm.common import materialize, table
+from quarry.llm.queries import PII_KEY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity score rejects go; labels of one part in three are left out of learning, as in the operator's query."""
+    learned_from = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    lexicon = toxicity.learn(toxicity.sample(docs, table(spark, sf_dir, "labels"), learned_from))
+    return toxicity.scored(docs, lexicon).where("predicted = 0").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the row with the smallest id stays."""
+    return simhash.drop_near_copies(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to surrogates; ``n_chars`` follows the text."""
+    done = pii.surrogates(docs, PII_KEY)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        done = done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return done.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised rows with their places in sequences of 2048 ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("PII", replace_personal_data),
+    ("best-fit packing", pack),
+]
+
+#: A learned score and fingerprints have no SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
+    return docs

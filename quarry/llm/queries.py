@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, class_lm, exact_dedup, minhash, packing, simhash, toxicity, warc, wordpiece
+from quarry.llm import bpe, class_lm, exact_dedup, minhash, packing, pii, simhash, toxicity, warc, wordpiece
 from quarry.llm.common import materialize, scratch_path, table
 
+#: Parameter of the surrogates; a deployment gives its own.
+PII_KEY = "quarry"
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.BPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -55,6 +58,11 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("mark").alias("held_out"), "n_tokens", "n_known", F.lit(model.items.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogates(docs, PII_KEY).select("doc_id", "text", "n_entities", F.to_json("kinds").alias("kinds"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
