@@ -58,6 +58,6 @@ def experiment(spark: SparkSession, options: dict[str, Any], frame: DataFrame) -
     fitted = kind(estimator=pipeline, estimatorParamMaps=grid or [{}], evaluator=evaluator, seed=int(more.get("seed", 7)), **folds).fit(frame)
     scores = fitted.avgMetrics if kind is CrossValidator else fitted.validationMetrics
     order = sorted(range(len(scores)), key=lambda k: -scores[k])
-    ranks = {k: 1 + sum(scores[j] > scores[k] for j in order) for k in order}
+    ranks = {k: int(1 + sum(scores[j] > scores[k] for j in order)) for k in order}
     rows = [(str({p.name: v for p, v in (grid or [{}])[k].items()}), float(scores[k]), ranks[k]) for k in range(len(scores))]
     return fitted.bestModel, columns, spark.createDataFrame(rows, "params string, mean_test_score double, rank_test_score int")
