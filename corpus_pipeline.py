@@ -30,8 +30,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each group the row with the smallest id stays.
+
+    Groups are those of the operator's query (four words, four bits), and among
+    what they leave those of texts whose five-word shingles are similar to 0.8 or more.
+    """
+    return simhash.drop_similar(materialize(simhash.drop_near_copies(docs)))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

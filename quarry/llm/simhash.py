@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import id_type, map_batches, materialize
 from quarry.llm.components import components
+from quarry.llm.minhash import shingles
 
 SEED = 42
 FANOUT = 8
@@ -165,44 +166,55 @@ def blocks(radius: int) -> list[tuple[int, int]]:
 def links(distinct: DataFrame, radius: int = 4, group_limit: int = 8192) -> DataFrame:
     """``u, v``: links that connect whatever fingerprints of ``distinct(fp)`` are connected at all."""
     keys = F.array(*[(F.lit(k).cast("bigint") * F.lit(1 << 40)) + F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for k, (at, width) in enumerate(blocks(radius))])
-    keyed = distinct.select("fp", F.explode(keys).alias("block"))
+    keyed = distinct.select(F.col("fp").alias("node"), "fp", F.explode(keys).alias("block"))
+
+    def ties(rows: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        codes = rows[:, 0].astype(np.int64).view(np.uint64)
+        group = np.zeros(len(rows), np.int64)
+        group[change[1:]] = 1
+        order = np.lexsort((gray_rank(codes), np.cumsum(group)))
+        u, v = forest(codes[order], change, radius)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    return _dealt(keyed, group_limit).mapInArrow(_by_group(ties), "u bigint, v bigint")
+
+
+def _dealt(keyed: DataFrame, group_limit: int) -> DataFrame:
+    """``fp, block, part, node``, sorted by group: a block, or of a large one a pair of its parts."""
     parts = F.ceil(F.col("n") / F.lit(group_limit)).cast("int")
     large = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select(F.col("block").alias("large"), parts.alias("parts"))
     dealt = keyed.join(large, F.col("block") == F.col("large"), "left")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, part) * F.lit(1 << 20) + F.greatest(k, part))
-    dealt = dealt.select("fp", "block", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("part"))
-    sorted_ = dealt.repartition("block", "part").sortWithinPartitions("block", "part")
+    dealt = dealt.select("fp", "block", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(others).cast("array<bigint>")).alias("part"), "node")
+    return dealt.repartition("block", "part").sortWithinPartitions("block", "part")
+
+
+def _by_group(found):
+    """A ``mapInArrow`` function that gives ``found`` whole groups, many small ones at once: the rows, and where groups begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            codes = rows[:, 0].astype(np.int64).view(np.uint64)
-            change = np.flatnonzero(np.r_[True, (rows[1:, 1:] != rows[:-1, 1:]).any(axis=1)])
-            group = np.zeros(len(rows), np.int64)
-            group[change[1:]] = 1
-            order = np.lexsort((gray_rank(codes), np.cumsum(group)))
-            u, v = forest(codes[order], change, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            return found(rows, np.flatnonzero(np.r_[True, (rows[1:, 1:3] != rows[:-1, 1:3]).any(axis=1)]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1))
             size += batch.num_rows
             if size >= 65536:
                 rows = np.concatenate(held)
-                same = (rows[:, 1:] == rows[-1, 1:]).all(axis=1)
-                cut = int(np.argmax(same))  # the last group may go on in the next batch
+                cut = int(np.argmax((rows[:, 1:3] == rows[-1, 1:3]).all(axis=1)))  # the last group may go on in the next batch
                 if cut:
                     yield flush(rows[:cut])
                 held, size = [rows[cut:]], len(rows) - cut
         if size:
             yield flush(np.concatenate(held))
 
-    return sorted_.select("fp", "block", F.col("part").cast("bigint")).mapInArrow(run, "u bigint, v bigint")
+    return run
 
 
 def classes(prints: DataFrame, radius: int = 4, group_limit: int = 8192) -> DataFrame:
@@ -221,6 +233,96 @@ def simhash_groups(docs: DataFrame, *, size: int = 4, radius: int = 4, group_lim
     return prints.join(named, F.col("fp") == F.col("own")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Of the search by similarity: 64-bit fingerprints of a text, and the bits of a block.
+PRINTS, BLOCK_BITS = 12, 16
+_SEEDS = np.random.default_rng(64).integers(1, 2**63, PRINTS, dtype=np.uint64)
+
+
+def wide_fingerprint(text: str | None, size: int = 5) -> np.ndarray:
+    """``PRINTS`` SimHash fingerprints over the text's distinct shingles; zeros without words."""
+    x = np.unique(shingles(text, size))
+    if not len(x):
+        return np.zeros(PRINTS, np.uint64)
+    total = np.zeros(64 * PRINTS, np.int64)
+    for k in range(0, len(x), 4096):
+        h = (x[k : k + 4096, None] ^ _SEEDS) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        total += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(x), bitorder="little").view(np.uint64)
+
+
+def similar_pairs(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, radius: int = 18, group_limit: int = 8192, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Links ``u, v`` of Jaccard similarity ``threshold`` or more, and the nodes ``own``.
+
+    Texts with one set are one node, ``own``, the hash of the set.  Nodes that agree on a
+    block of bits of any fingerprint meet in a group; in it each is tied to the
+    earlier one, in Gray order, whose first fingerprint is nearest within
+    ``radius``, so a group adds no more links than it has members.  The similarity of
+    each tie is then taken from the shingle sets.  At similarity 0.8 a pair
+    meets in some of the 48 blocks 97 times in a hundred, at 0.9 practically always.
+    """
+
+    def make():
+        def own(batch: pa.RecordBatch) -> dict:
+            texts = [t.as_py() for t in batch.column(0)]
+            prints = [wide_fingerprint(t, size) for t in texts]
+            sets = [np.unique(shingles(t, size)) for t in texts]
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            return {"own": nodes, "fp": [p.view(np.int64) for p in prints], "grams": [s.view(np.int64) for s in sets]}
+
+        return own
+
+    nodes = materialize(map_batches(docs.select(F.col(text).alias("text")), "own bigint, fp array<bigint>, grams array<bigint>", make).where(F.size("grams") > 0).dropDuplicates(["own"]))
+    per = 64 // BLOCK_BITS
+    keys = F.array(*[F.lit(k) * F.lit(1 << BLOCK_BITS) + F.shiftrightunsigned(F.col("fp")[k // per], BLOCK_BITS * (k % per)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("bigint")) for k in range(PRINTS * per)])
+    keyed = nodes.select(F.col("own").alias("node"), F.col("fp")[0].alias("fp"), F.explode(keys).alias("block"))
+    dealt = _dealt(keyed, group_limit)
+
+    def nearest(rows: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        """``rows``: fp, block, part, node."""
+        codes = rows[:, 0].astype(np.int64).view(np.uint64)
+        group = np.zeros(len(rows), np.int64)
+        group[change[1:]] = 1
+        order = np.lexsort((gray_rank(codes), np.cumsum(group)))
+        codes, node = codes[order], rows[order, 3]
+        best = np.full(len(codes), np.iinfo(np.int64).max)
+        for a, b in GrayIndex(codes, change).pairs(radius):
+            np.minimum.at(best, b, (np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) << 40) + a)
+        tied = np.flatnonzero(best < np.iinfo(np.int64).max)
+        return pa.RecordBatch.from_arrays([pa.array(node[best[tied] & ((1 << 40) - 1)]), pa.array(node[tied])], names=["u", "v"])
+
+    met = dealt.mapInArrow(_by_group(nearest), "u bigint, v bigint")
+    ties = materialize(met.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    sets = lambda n, g: nodes.select(F.col("own").alias(n), F.col("grams").alias(g))
+    both = ties.join(sets("x", "xs"), F.col("u") == F.col("x")).join(sets("y", "ys"), F.col("v") == F.col("y"))
+    shared = F.size(F.array_intersect("xs", "ys"))
+    return both.where(shared >= threshold * (F.size("xs") + F.size("ys") - shared)).select("u", "v"), nodes.select("own")
+
+
+def drop_similar(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """One row of each group of similar texts, that with the smallest id, in the columns of ``docs``.
+
+    Texts without words are left alone, and so are rows with a null id; rows that
+    share an id stand or fall together.
+    """
+    kind = id_type(docs, id)
+
+    def make():
+        def own(batch: pa.RecordBatch) -> dict:
+            sets = [np.unique(shingles(t.as_py(), size)) for t in batch.column(1)]
+            return {"doc_id": batch.column(0), "own": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), "words": [len(s) > 0 for s in sets]}
+
+        return own
+
+    held = materialize(map_batches(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), f"doc_id {kind}, own bigint, words boolean", make).where("words and doc_id is not null"))
+    roots = components(similar_pairs(docs, threshold=threshold, size=size, text=text)[0])
+    named = held.join(roots, F.col("own") == F.col("node"), "left").select("doc_id", F.coalesce("root", "own").alias("root"))
+    least = named.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("stays"))
+    gone = named.join(least, F.col("root") == F.col("of")).where("doc_id <> stays").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id] == F.col("_gone"), "left_anti")
+
+
 def drop_near_copies(docs: DataFrame, *, size: int = 4, radius: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of each group, that with the smallest id, in the columns of ``docs``.
 

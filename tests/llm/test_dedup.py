@@ -112,3 +112,38 @@ def test_groups_and_survivors(spark):
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} >= {10, 12, 13, 16} and 15 not in {r.doc_id for r in kept.collect()}
+
+
+def edited_copies(rng):
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(40):
+        base = list(rng.choice(words, rng.integers(60, 300)))
+        for edits in (0, 0, 1, 2, 4, 30):
+            copy = list(base)
+            for at in rng.choice(len(copy), min(edits, len(copy) // 2), replace=False):
+                copy[at] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    return [(i, t) for i, t in enumerate(texts)] + [(1000, ""), (1001, None), (1002, "one two"), (1003, "one two"), (None, texts[0])]
+
+
+def test_similar_texts(spark):
+    rows = edited_copies(np.random.default_rng(11))
+    docs = frame(spark, rows).selectExpr("*", "1 as own", "'r' as root").repartition(3)
+    grams = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows if i is not None and i < 1000}
+    ids = sorted(grams)
+    alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    pairs = [(a, b, alike(a, b)) for k, a in enumerate(ids) for b in ids[k + 1 :] if grams[a] & grams[b]]
+    want = plain_components(ids, [(a, b) for a, b, j in pairs if j >= 0.8])
+    for limit in (8192, 40):
+        kept = simhash.similar_pairs(docs, group_limit=limit)[0].count()
+        assert kept > 0
+    out = simhash.drop_similar(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id for r in out.collect()}
+    assert {1000, 1001, 1002, None} <= got and 1003 not in got
+    got -= {1000, 1001, 1002, None}
+    first = {i for i in ids if want[i] == i}
+    assert first <= got and len(got - first) <= 0.1 * len(first)
+    assert not [(a, b) for a, b, j in pairs if j >= 0.9 and a in got and b in got]
+    assert simhash.drop_similar(docs.where("false")).count() == 0
