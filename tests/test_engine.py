@@ -218,3 +218,54 @@ def test_prompt_and_notebook(engine):
     assert all(w in text for w in ("root", "t2", "answer", "42", "ParsingException", "not available", "local")) and "never" not in text
     frame = run_cell(engine, "SELECT a FROM own WHERE a > {least}", {"own": pd.DataFrame({"a": [1, 2]}), "least": 1}, auto_include=True, out=lambda _: None)
     assert frame["a"].tolist() == [2]
+
+
+def test_wrapped_models_and_metrics(spark):
+    from quarry.ml import metrics
+    from quarry.ml.wrappers import Incremental, ParallelPostFit
+
+    class Line:
+        """A least-squares line through the origin, by sums."""
+
+        def __init__(self):
+            self.xy = self.xx = 0.0
+
+        def partial_fit(self, x, y):
+            self.xy += float((x["x"] * y).sum())
+            self.xx += float((x["x"] ** 2).sum())
+            return self
+
+        fit = partial_fit
+
+        def predict(self, x):
+            return (x["x"] * self.xy / self.xx).to_numpy()
+
+        def predict_proba(self, x):
+            return np.stack([self.predict(x), 1 - self.predict(x)], axis=1)
+
+    data = spark.createDataFrame([(float(k), 3.0 * k) for k in range(1, 50)], "x double, y double").repartition(3)
+    for model in (ParallelPostFit(Line()).fit(data, "y"), Incremental(Line()).fit(data, "y", batch_size=10)):
+        found = model.predict(data)
+        assert metrics.mean_squared_error(found, "y", "predict") < 1e-12 and metrics.r2(found, "y", "predict") > 0.999
+        assert model.score(data, "y") > 0.999
+        assert len(model.predict_proba(data).first().predict_proba) == 2
+    labels = spark.createDataFrame([(1, 1, 0.9), (0, 1, 0.4), (0, 0, 0.1)], "y int, p int, q double")
+    assert abs(metrics.accuracy(labels, "y", "p") - 2 / 3) < 1e-12
+    assert abs(metrics.log_loss(labels, "y", "q") + (np.log(0.9) + np.log(0.6) + np.log(0.9)) / 3) < 1e-12
+
+
+def test_streams_are_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarry.streaming.windows import register_stream, tumbling
+
+    rows = [(k, datetime.datetime(2024, 1, 1, k // 30, k % 60), float(k)) for k in range(60)]
+    spark.createDataFrame(rows, "id bigint, ts timestamp, v double").write.parquet(f"{tmp_path}/in")
+    engine = Engine(spark)
+    register_stream(engine, "live", f"{tmp_path}/in", "id bigint, ts timestamp, v double")
+    frame = tumbling(engine.sql("SELECT ts, v FROM live WHERE v >= 10"), "ts", "1 hour", [], {"n": F.count(F.lit(1))})
+    assert frame.isStreaming
+    query = frame.writeStream.outputMode("complete").format("memory").queryName("live_out").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sum(r.n for r in spark.table("live_out").collect()) == 50
