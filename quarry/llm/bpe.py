@@ -50,14 +50,14 @@ def pieces(text: str) -> list[str]:
 class Memo(dict):
     """What ``make`` gives for a key; emptied when it is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def __missing__(self, piece):
         value = self.make(piece)
         if len(piece) <= MEMO_PIECE:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[piece] = value
         return value

@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that an operator's Python code holds at once.
+ROWS = 1000
+
 _local_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -87,16 +90,16 @@ def text_or_empty(column: str | Column) -> Column:
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]]) -> DataFrame:
     """``mapInArrow`` over ``df``.
 
-    ``make`` is called once in each task and returns the function for a batch;
-    that gives columns by name (lists or arrays), all of one length.
+    ``make`` is called once in each task and returns the function for a batch
+    of at most ``ROWS`` rows; that gives columns by name (lists or arrays), all of one length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in fields])
         own = make()
         for batch in batches:
-            if batch.num_rows:
-                out = own(batch)
+            for start in range(0, batch.num_rows, ROWS):
+                out = own(batch.slice(start, ROWS))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == k.type else pa.array(x, k.type) for k, x in ((k, out[k.name]) for k in kinds)], schema=kinds)
 
     from pyspark.sql.types import StructType
