@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, packing, pii, simhash, toxicity
-from quarry.llm.common import materialize, table
+from quarry.llm.common import materialize, quoted, table
 from quarry.llm.queries import PII_KEY
 
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity score rejects go; labels of one part in three are left out of learning, as in the operator's query."""
     learned_from = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     lexicon = toxicity.learn(toxicity.sample(docs, table(spark, sf_dir, "labels"), learned_from))
-    return toxicity.scored(docs, lexicon).where("predicted = 0").select(docs.columns)
+    return toxicity.scored(docs, lexicon).where("predicted = 0").select(quoted(docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         done = done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+    return done.select(quoted(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

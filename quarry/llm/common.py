@@ -82,6 +82,11 @@ def released(df: DataFrame) -> None:
         drop_path(df.sparkSession, file)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they are, whatever signs they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def text_or_empty(column: str | Column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column, F.lit(""))
@@ -91,7 +96,8 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     """``mapInArrow`` over ``df``.
 
     ``make`` is called once in each task and returns the function for a batch
-    of at most ``ROWS`` rows; that gives columns by name (lists or arrays), all of one length.
+    of at most ``ROWS`` rows, whose columns go by their places; that gives columns
+    by name (lists or arrays), all of one length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +106,13 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 out = own(batch.slice(start, ROWS))
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == k.type else pa.array(x, k.type) for k, x in ((k, out[k.name]) for k in kinds)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[k.name], pa.Array) else pa.array(x, k.type) for k in kinds], names=kinds.names)
 
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(schema).fields
-    return df.mapInArrow(run, schema)
+    # By place: PySpark looks columns up by name here, which fails for odd names.
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def _arrow(kind) -> pa.DataType:

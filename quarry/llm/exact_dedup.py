@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_path, materialize, partitions, scratch_path, text_or_empty
+from quarry.llm.common import drop_path, materialize, partitions, quoted, scratch_path, text_or_empty
 
 
 class DigestIndex:
@@ -83,7 +83,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, *, text: str
     old = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     rows = docs.withColumn(f"{mark}_own", F.unhex(F.sha2(text_or_empty(text), 256))).join(found.hint("merge"), F.col(f"{mark}_own") == F.col(f"{mark}_digest"))
     return rows.select(
-        *old,
+        *quoted(old),
         F.col(f"{mark}_keep_id").alias("keep_id"),
         F.col(f"{mark}_group_size").alias("group_size"),
         (F.col(f"{mark}_fresh") & F.col(id).eqNullSafe(F.col(f"{mark}_keep_id"))).alias("kept"),
@@ -95,4 +95,4 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, *, text: str
     """The rows that stay, in the columns of ``docs``."""
     hidden = {c: f"_own_{c}" for c in ("keep_id", "group_size", "kept", "text_sha256") if c in docs.columns}
     kept = exact_dedup(docs.withColumnsRenamed(hidden), index, text=text, id=id).where("kept").drop("keep_id", "group_size", "kept", "text_sha256")
-    return kept.withColumnsRenamed({v: k for k, v in hidden.items()}).select(docs.columns)
+    return kept.withColumnsRenamed({v: k for k, v in hidden.items()}).select(quoted(docs.columns))

@@ -218,6 +218,8 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, w
     bases = by_part.select(F.col("dealt").alias("d"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = cuts.join(bases, (F.col("dealt") == F.col("d")) & (F.col("length") == F.col("l"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"), *(["ids"] if with_ids else []))
 
+    names = ranked.columns
+
     def make():
         places = sent.value
 
@@ -231,7 +233,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, w
                 nth = rank[here] - first[at]
                 sequence[here] = seq[at] + nth // each[at]
                 offset[here] = off[at] + nth % each[at] * own
-            return {n: batch.column(n) for n in batch.schema.names} | {"sequence_id": sequence, "offset": offset}
+            return {n: batch.column(k) for k, n in enumerate(names)} | {"sequence_id": sequence, "offset": offset}
 
         return one
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, materialize
+from quarry.llm.common import map_batches, materialize, quoted
 
 #: Labelled rows that a lexicon and its curve are fitted on, at most.
 SAMPLE = 12_000
@@ -209,15 +209,15 @@ def scored(docs: DataFrame, lexicon: Lexicon, *, text: str = "text") -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample
     others = [c for c in docs.columns if c not in ("score", "predicted")]
     place = others.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", score double, predicted int"
+    schema = ", ".join(f"{quoted([f.name])[0]} {f.dataType.simpleString()}" for f in docs.select(quoted(others)).schema) + ", score double, predicted int"
 
     def make():
         own = sent.value
 
         def one(batch: pa.RecordBatch) -> dict:
             found = [own.score(t.as_py()) for t in batch.column(place)]
-            return {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {"score": found, "predicted": [int(s >= THRESHOLD) for s in found]}
+            return {n: batch.column(k) for k, n in enumerate(others)} | {"score": found, "predicted": [int(s >= THRESHOLD) for s in found]}
 
         return one
 
-    return map_batches(docs.select(*others), schema, make)
+    return map_batches(docs.select(quoted(others)), schema, make)
