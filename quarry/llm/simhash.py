@@ -252,28 +252,35 @@ def wide_fingerprint(text: str | None, size: int = 5) -> np.ndarray:
     return np.packbits(2 * total > len(x), bitorder="little").view(np.uint64)
 
 
-def similar_pairs(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, radius: int = 18, group_limit: int = 8192, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Links ``u, v`` of Jaccard similarity ``threshold`` or more, and the nodes ``own``.
+def _set_hash(grams: np.ndarray) -> int:
+    h = xxhash.xxh3_64_intdigest(grams.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
-    Texts with one set are one node, ``own``, the hash of the set.  Nodes that agree on a
+
+def similar_pairs(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, radius: int = 18, group_limit: int = 8192, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Links ``u, v`` of Jaccard similarity ``threshold`` or more, and ``doc_id, own`` of each row.
+
+    Texts with one shingle set are one node, ``own``, the hash of the set; rows with a
+    null id or a text without words are none.  Nodes that agree on a
     block of bits of any fingerprint meet in a group; in it each is tied to the
     earlier one, in Gray order, whose first fingerprint is nearest within
     ``radius``, so a group adds no more links than it has members.  The similarity of
-    each tie is then taken from the shingle sets.  At similarity 0.8 a pair
+    each tie is then taken from the shingle sets, which are made of the tied
+    texts alone.  At similarity 0.8 a pair
     meets in some of the 48 blocks 97 times in a hundred, at 0.9 practically always.
     """
+    kind = id_type(docs, id)
+    plain = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
 
-    def make():
+    def prints():
         def own(batch: pa.RecordBatch) -> dict:
-            texts = [t.as_py() for t in batch.column(0)]
-            prints = [wide_fingerprint(t, size) for t in texts]
-            sets = [np.unique(shingles(t, size)) for t in texts]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            return {"own": nodes, "fp": [p.view(np.int64) for p in prints], "grams": [s.view(np.int64) for s in sets]}
+            texts = [t.as_py() for t in batch.column(1)]
+            return {"doc_id": batch.column(0), "own": [_set_hash(np.unique(shingles(t, size))) for t in texts], "fp": [wide_fingerprint(t, size).view(np.int64) for t in texts], "words": [bool((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]}
 
         return own
 
-    nodes = materialize(map_batches(docs.select(F.col(text).alias("text")), "own bigint, fp array<bigint>, grams array<bigint>", make).where(F.size("grams") > 0).dropDuplicates(["own"]))
+    held = materialize(map_batches(plain, f"doc_id {kind}, own bigint, fp array<bigint>, words boolean", prints).where("words").drop("words"))
+    nodes = held.groupBy("own").agg(F.first("fp").alias("fp"))
     per = 64 // BLOCK_BITS
     keys = F.array(*[F.lit(k) * F.lit(1 << BLOCK_BITS) + F.shiftrightunsigned(F.col("fp")[k // per], BLOCK_BITS * (k % per)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("bigint")) for k in range(PRINTS * per)])
     keyed = nodes.select(F.col("own").alias("node"), F.col("fp")[0].alias("fp"), F.explode(keys).alias("block"))
@@ -294,10 +301,22 @@ def similar_pairs(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, rad
 
     met = dealt.mapInArrow(_by_group(nearest), "u bigint, v bigint")
     ties = materialize(met.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    sets = lambda n, g: nodes.select(F.col("own").alias(n), F.col("grams").alias(g))
+    tied = ties.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    shown = held.join(tied, F.col("own") == F.col("node")).groupBy("own").agg(F.min("doc_id").alias("shown"))
+
+    def grams():
+        def own(batch: pa.RecordBatch) -> dict:
+            sets = [np.unique(shingles(t.as_py(), size)) for t in batch.column(1)]
+            return {"own": batch.column(0), "made": [_set_hash(x) for x in sets], "grams": [x.view(np.int64) for x in sets]}
+
+        return own
+
+    texts = plain.join(shown, F.col("doc_id") == F.col("shown")).select("own", "text")
+    made = materialize(map_batches(texts, "own bigint, made bigint, grams array<bigint>", grams).where("own = made").dropDuplicates(["own"]))
+    sets = lambda n, g: made.select(F.col("own").alias(n), F.col("grams").alias(g))
     both = ties.join(sets("x", "xs"), F.col("u") == F.col("x")).join(sets("y", "ys"), F.col("v") == F.col("y"))
     shared = F.size(F.array_intersect("xs", "ys"))
-    return both.where(shared >= threshold * (F.size("xs") + F.size("ys") - shared)).select("u", "v"), nodes.select("own")
+    return both.where(shared >= threshold * (F.size("xs") + F.size("ys") - shared)).select("u", "v"), held.select("doc_id", "own")
 
 
 def drop_similar(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -306,17 +325,8 @@ def drop_similar(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, text
     Texts without words are left alone, and so are rows with a null id; rows that
     share an id stand or fall together.
     """
-    kind = id_type(docs, id)
-
-    def make():
-        def own(batch: pa.RecordBatch) -> dict:
-            sets = [np.unique(shingles(t.as_py(), size)) for t in batch.column(1)]
-            return {"doc_id": batch.column(0), "own": np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64), "words": [len(s) > 0 for s in sets]}
-
-        return own
-
-    held = materialize(map_batches(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), f"doc_id {kind}, own bigint, words boolean", make).where("words and doc_id is not null"))
-    roots = components(similar_pairs(docs, threshold=threshold, size=size, text=text)[0])
+    pairs, held = similar_pairs(docs, threshold=threshold, size=size, text=text, id=id)
+    roots = components(pairs)
     named = held.join(roots, F.col("own") == F.col("node"), "left").select("doc_id", F.coalesce("root", "own").alias("root"))
     least = named.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("stays"))
     gone = named.join(least, F.col("root") == F.col("of")).where("doc_id <> stays").select(F.col("doc_id").alias("_gone")).distinct()
