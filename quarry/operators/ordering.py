@@ -5,8 +5,8 @@ from quarry.operators.registry import add
 add("sort_nulls", """
     SELECT n_nationkey, ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2), n_nationkey) AS up, ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC, n_nationkey) AS down,
            ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) NULLS FIRST, n_nationkey) AS f, ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC NULLS LAST, n_nationkey) AS l FROM nation""", """
-    SELECT n_nationkey, ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) ASC NULLS LAST, n_nationkey) AS up, ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC NULLS FIRST, n_nationkey) AS down,
-           ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) NULLS FIRST, n_nationkey) AS f, ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC NULLS LAST, n_nationkey) AS l FROM nation""")
+    SELECT n_nationkey, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) ASC NULLS LAST, n_nationkey) AS INTEGER) AS up, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC NULLS FIRST, n_nationkey) AS INTEGER) AS down,
+           CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) NULLS FIRST, n_nationkey) AS INTEGER) AS f, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC NULLS LAST, n_nationkey) AS INTEGER) AS l FROM nation""")
 add("sort_multi", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey")
 add("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
 add("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")

@@ -39,7 +39,7 @@ add("literals", "SELECT r_regionkey, 1 AS i, 1.5 AS d, 'it''s' AS s, TRUE AS b,
 add("values_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v)")
 add("select_without_from", "SELECT 1 + 1 AS two, 'x' || 'y' AS xy, 7 / 2 AS whole, 7.0 / 2 AS part", "SELECT 1 + 1 AS two, 'x' || 'y' AS xy, CAST(7 // 2 AS BIGINT) AS whole, CAST(3.5 AS DECIMAL(7, 6)) AS part")
 add("quoted_identifiers", 'SELECT "n_name" AS "The Name", n."n_regionkey" AS "2nd" FROM nation AS n WHERE "n_nationkey" > 3')
-add("whole_division", "SELECT l_orderkey, l_linenumber, l_orderkey / 7 AS q, (l_linenumber + 1) / 2.0 AS h FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS q, CAST((l_linenumber + 1) / 2.0 AS DECIMAL(15, 6)) AS h FROM lineitem")
+add("whole_division", "SELECT l_orderkey, l_linenumber, l_orderkey / 7 AS q, (l_linenumber + 1) / 2.0 AS h FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS q, CAST((l_linenumber + 1) / 2.0 AS DECIMAL(17, 6)) AS h FROM lineitem")
 add("scalar_subquery", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer)")
 add("correlated_scalar_subquery", "SELECT p.p_partkey, p.p_retailprice FROM part p WHERE p.p_retailprice >= (SELECT MAX(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
 add("subquery_in_from", "SELECT t.k, COUNT(*) AS n FROM (SELECT o_custkey % 10 AS k FROM orders WHERE o_totalprice > 1000) AS t GROUP BY t.k")

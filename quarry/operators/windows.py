@@ -2,7 +2,8 @@
 
 from quarry.operators.registry import add
 
-add("win_row_number", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
+add("win_row_number", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders",
+    "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS rn FROM orders")
 add("win_rank_family", """
     SELECT l_orderkey, l_linenumber, RANK() OVER w AS r, DENSE_RANK() OVER w AS d, ROUND(PERCENT_RANK() OVER w, 8) AS p, ROUND(CUME_DIST() OVER w, 8) AS c, NTILE(3) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS t
     FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)""", """
@@ -24,5 +25,6 @@ add("win_filter", "SELECT event_id, COUNT(*) FILTER (WHERE value > 50) OVER (PAR
     "SELECT event_id, COUNT(*) FILTER (WHERE value > 50) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM events")
 add("win_several", "SELECT c_custkey, RANK() OVER (ORDER BY c_acctbal DESC, c_custkey) AS overall, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS local FROM customer",
     "SELECT c_custkey, CAST(RANK() OVER (ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS overall, CAST(ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS local FROM customer")
-add("win_null_partition", "SELECT n_nationkey, ROW_NUMBER() OVER (PARTITION BY NULLIF(n_regionkey, 2) ORDER BY n_nationkey) AS rn FROM nation")
+add("win_null_partition", "SELECT n_nationkey, ROW_NUMBER() OVER (PARTITION BY NULLIF(n_regionkey, 2) ORDER BY n_nationkey) AS rn FROM nation",
+    "SELECT n_nationkey, CAST(ROW_NUMBER() OVER (PARTITION BY NULLIF(n_regionkey, 2) ORDER BY n_nationkey) AS INTEGER) AS rn FROM nation")
 add("win_over_aggregate", "SELECT o_orderstatus, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS total FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS total FROM orders GROUP BY o_orderstatus")
