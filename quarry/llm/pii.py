@@ -57,7 +57,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z.])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z])|(?<![0-9A-Za-z.])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?|[0-9]{1,5}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3,5}[ .-][0-9]{3,4}[ .-][0-9]{4}|\+[0-9]{8,15})(?![0-9A-Za-z])",
     "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_NAME}(?: {_NAME})?)|(?:{_FIRST}) {_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())

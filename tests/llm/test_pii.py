@@ -10,7 +10,7 @@ ROWS = [
     (3, None),
     (4, ""),
     (5, "Mr. John Smith met Mary Smith and Frau Müller. Госпожа Анна Петрова; MARY"),
-    (6, "Version 2.0 of 2024-01-02, 1,000,000 and 3.14159 at 300.1.2.3, no. 1234567812345678, Sra. of"),
+    (6, "Version 2.0 of 2024-01-02, 1,000,000 and 3.14159 at 300.1.2.3, no. 1234567812345678, Sra. of 12 345 678 and 1 234 567 890"),
     (7, "4111-1111-1111-1111 DE89 3704 0044 0532 0130 00, bob@corp.com"),
     (8, "Mr. John Smith met Mary Smith and Frau Müller. Госпожа Анна Петрова; MARY"),
     (8, "8.8.8.8"),
