@@ -216,7 +216,8 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, w
     sent = docs.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).reshape(-1, 4).T for k, v in rows.items()})
     earlier = Window.partitionBy("length").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select(F.col("dealt").alias("d"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = cuts.join(bases, (F.col("dealt") == F.col("d")) & (F.col("length") == F.col("l"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"), *(["ids"] if with_ids else []))
+    # The bases grow with the partitions: never broadcast.
+    ranked = cuts.join(bases.hint("merge"), (F.col("dealt") == F.col("d")) & (F.col("length") == F.col("l"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"), *(["ids"] if with_ids else []))
 
     names = ranked.columns
 
