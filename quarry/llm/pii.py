@@ -46,23 +46,32 @@ FIRST_NAMES = {
 # Words that name a secret.
 SECRET_WORDS = ("password", "passwd", "passwort", "secret", "token", "api[_-]?key", "access[_-]?key", "auth[_-]?key")
 
+
+
+def _starts(words: tuple[str, ...] | list[str]) -> str:
+    """The words as alternatives by first letter, behind a look at that letter, which most places fail."""
+    letters = sorted({w[0] for w in words})
+    return f"(?=[{''.join(letters)}])(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), reverse=True))})" for c in letters) + ")"
+
+
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
-_FIRST = "|".join(n for names in FIRST_NAMES.values() for n in names)
-_TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+_FIRST = _starts([n for names in FIRST_NAMES.values() for n in names])
+_TITLE = _starts([t for titles in TITLES.values() for t in titles])
 #: What each kind looks like, most telling first.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?i:(?<![a-z0-9])(?:" + "|".join(SECRET_WORDS) + r"))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,512}=*",
+    "secret": r"(?=[PpSsTtAa])(?i:(?<![a-z0-9])(?:" + "|".join(SECRET_WORDS) + r"))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,512}=*",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z.])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?|[0-9]{1,5}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3,5}[ .-][0-9]{3,4}[ .-][0-9]{4}|\+[0-9]{8,15})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_NAME}(?: {_NAME})?)|(?:{_FIRST}) {_NAME})(?!\p{{L}})",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.? (?:{_NAME}(?: {_NAME})?)|{_FIRST} {_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without these can't have an entity; looked for first, as it is far cheaper.
-HINT = rf"[@]|[0-9][0-9. -]|[0-9]\(|[0-9]\)|(?i:{'|'.join(SECRET_WORDS)})|(?<!\p{{L}})(?:{_TITLE}|{_FIRST})(?!\p{{L}})"
+#: A part of whatever has an entity, far cheaper to look for: an at sign, digits in a row, an IBAN's head, what a secret follows, the head of a name.
+HINT = r"@[A-Za-z0-9]|[0-9][0-9 .()-]{6}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8}"
+NAME_HINT = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_FIRST})\.? \p{{Lu}}"
 
 _LATIN = ("bdfghklmnprstvwz", "aeiou")
 _CYRILLIC = ("бвгдзклмнпрстфхч", "аеиоу")
@@ -223,10 +232,13 @@ def assign(entities: DataFrame, key: str, turns: int = 12) -> DataFrame:
     raise ValueError(f"{turns} hashes leave surrogates that collide")
 
 
+def _hinted(text: str) -> Column:
+    return F.col(text).rlike(HINT) | F.col(text).rlike(NAME_HINT)
+
+
 def found_in(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``digest, place, raw, kind, unit, part`` - each part of each entity, once for each distinct text."""
-    hit = F.col(text).rlike(HINT)
-    texts = docs.where(hit).select(F.unhex(F.sha2(text, 256)).alias("digest"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("found"))
+    texts = docs.where(_hinted(text)).select(F.unhex(F.sha2(text, 256)).alias("digest"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("found"))
     once = texts.where(F.size("found") > 0).dropDuplicates(["digest"])
     matches = once.select("digest", F.posexplode("found").alias("place", "raw")).withColumn("kind", _kind(F.col("raw")))
     return matches.select("digest", "place", "raw", "kind", F.posexplode(_units(F.col("raw"), F.col("kind"))).alias("unit", "part"))
@@ -242,7 +254,7 @@ def surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("place", "unit", "of", "shown")))
     by_text = materialize(shown.groupBy("digest").agg(listed.alias("found")).select(F.col("digest").alias(own["digest"]), F.col("found").alias(own["found"])))
 
-    has = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    has = F.coalesce(_hinted(text), F.lit(False))
     hit = docs.where(has).withColumn(f"{own['digest']}_text", F.unhex(F.sha2(text, 256))).join(by_text, F.col(f"{own['digest']}_text") == F.col(own["digest"]), "left")
     found = F.col(own["found"])
     between = F.split(F.col(text), ANY, -1)

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import pii
 
@@ -85,3 +86,15 @@ def test_collisions_are_resolved(spark):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.surrogates(docs, "k").count() == 0
+
+
+def test_hints_miss_nothing(spark):
+    """Whatever a pattern finds, a hint finds too."""
+    found = [
+        "a@b.co", "x.y-z%1@a-b.example.org", "password: hunter2hunter2", "API-KEY='abcdefgh'", "token\" : \"abcdefgh\"", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "123-45-6789", "1.1.1.1", "255.255.255.255",
+        "4111111111111111", "4111 1111 1111 1111", "+14155550123", "+49 30 123 4567", "(12)345-678", "(030) 1234 5678", "+1 (555) 123-4567", "555.123.4567", "Mr. Lee", "Herr Müller", "Anna Karenina", "Иван Петров", "Señora Ruiz", "Dr Who Mann",
+    ]
+    rows = spark.createDataFrame([(f"so {t}, and",) for t in found], "text string")
+    got = rows.select("text", pii._hinted("text").alias("hint"), F.expr("text").rlike(pii.ANY).alias("any")).collect()
+    assert [r.text for r in got if not r["any"]] == [] and [r.text for r in got if not r.hint] == []
+    assert set(pii.PATTERNS) == {r.k for r in rows.select(pii._kind(F.element_at(F.regexp_extract_all("text", F.lit(pii.ANY), F.lit(0)), 1)).alias("k")).collect()}
