@@ -147,3 +147,34 @@ def test_similar_texts(spark):
     assert first <= got and len(got - first) <= 0.1 * len(first)
     assert not [(a, b) for a, b, j in pairs if j >= 0.9 and a in got and b in got]
     assert simhash.drop_similar(docs.where("false")).count() == 0
+
+
+def shadowed(rng, partners=250):
+    """Texts on one long shared passage that are 0.78 alike, of each a partner at 0.8 or a little more."""
+    passage, rows = [f"p{k}" for k in range(1000)], []
+    for k in range(partners):
+        own = [f"t{k}x{j}" for j in range(140)]
+        copy = list(passage + own)
+        for at in rng.choice(range(0, 1000, 10), 23, replace=False):
+            copy[at] = f"e{k}x{at}"
+        rows += [" ".join(passage + own), " ".join(copy)]
+    return list(enumerate(rows))
+
+
+def test_no_candidate_shadows_another(spark):
+    """Whatever meets within the radius and is alike is joined, however many nearer texts are not alike."""
+    rows = shadowed(np.random.default_rng(3))
+    grams = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    assert alike(0, 2) < 0.8  # and so are all that are no partners: they share the passage alone
+    prints = {i: simhash.wide_fingerprint(t) for i, t in rows}
+    blocks = {i: f.view(np.uint16) for i, f in prints.items()}
+    pairs = [(a, a + 1) for a in range(0, len(rows), 2) if alike(a, a + 1) >= 0.8]
+    meet = [(a, b) for a, b in pairs if (blocks[a] == blocks[b]).any() and int(prints[a][0] ^ prints[b][0]).bit_count() <= 18]
+    assert len(meet) >= 200
+    want = plain_components(grams, meet)
+    docs = frame(spark, rows)
+    for limit in (8192, 100):
+        links, held = simhash.similar_pairs(docs, group_limit=limit)
+        own = {r.own: r.doc_id for r in held.collect()}
+        assert plain_components(grams, [(own[r.u], own[r.v]) for r in links.collect()]) == want
