@@ -64,10 +64,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z.])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])",
+    # A whole run of digit groups; those that belong to an address or a word behind them are none of it.
+    "card": r"(?<![0-9A-Za-z.])(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -][0-9]++(?![A-Za-z]|\.[0-9]{1,3}\.[0-9]|[A-Za-z0-9._%+-]{0,64}@))*+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?|[0-9]{1,5}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3,5}[ .-][0-9]{3,4}[ .-][0-9]{4}|\+[0-9]{8,15})(?![0-9A-Za-z])",
     "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.? (?:{_NAME}(?: {_NAME})?)|{_FIRST} {_NAME})(?!\p{{L}})",
 }
+#: What may stand in a run of digits that is no card as a whole.
+#: Three of a row of four or more groups of four are no phone number.
+WITHIN = f"(?:{PATTERNS['ssn']})|(?!(?<=[0-9]{{4}}[ -])[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}|[0-9]{{4}}(?: [0-9]{{4}}){{2}} [0-9]|[0-9]{{4}}(?:-[0-9]{{4}}){{2}}-[0-9])(?:{PATTERNS['phone']})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A part of whatever has an entity, far cheaper to look for: an at sign, digits in a row, an IBAN's head, what a secret follows, the head of a name.
 HINT = r"@[A-Za-z0-9]|[0-9][0-9 .()-]{6}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8}"
@@ -153,14 +157,71 @@ def _kind(raw: Column) -> Column:
     for kind, pattern in PATTERNS.items():
         here = raw.rlike(f"^(?:{pattern})$")
         if kind == "card":  # a long number without a valid check digit is no card
-            here = here & (_luhn(_digits(raw)) == 0)
+            here = here & _is_card(raw)
         out = F.when(here, kind) if out is None else out.when(here, kind)
     return out.otherwise("number")
 
 
+def _is_card(raw: Column) -> Column:
+    return F.length(_digits(raw)).between(13, 19) & (_luhn(_digits(raw)) == 0)
+
+
+def _part(kind: Column, raw: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), raw.alias("raw"))
+
+
+def _cards(raw: Column, strict: bool) -> Column:
+    """Parts of a run of digit groups: the longest valid cards from the left, and what stands between.
+
+    A card begins with a group of four digits or more.  ``strict``: groups that a hyphen
+    ties to others are no part of a card written with spaces.
+    """
+    nothing = F.lit(None).cast("string")
+    groups = F.regexp_extract_all(raw, F.lit(r"[0-9]+[ -]?|[ -]"), F.lit(0))
+    start = F.struct(F.array().cast("array<struct<kind:string,raw:string>>").alias("done"), F.lit("").alias("rest"), F.lit(0).alias("next"), F.lit(0).alias("at"))
+
+    def step(s: Column, group: Column) -> Column:
+        most = F.least(F.lit(19), F.size(groups) - s["at"])
+        from_here = lambda k: F.array_join(F.slice(groups, s["at"] + 1, k), "")
+        bare = lambda k: F.regexp_replace(from_here(k), "[ -]$", "")
+
+        def fits(k: Column) -> Column:
+            ok = _is_card(bare(k))
+            if strict:
+                tied = s["rest"].endswith("-") | (from_here(k).endswith("-") & (s["at"] + k < F.size(groups)))
+                ok = ok & ~(bare(k).contains(" ") & (tied | bare(k).contains("-")))
+            return ok
+
+        longest = F.array_max(F.filter(F.sequence(F.lit(1), most), fits))
+        n = F.when((s["at"] >= s["next"]) & group.rlike("^[0-9]{4}"), longest)
+        sign = F.regexp_extract(from_here(n), "[ -]$", 0)
+        plain = F.when(s["rest"] == "", F.array().cast("array<struct<kind:string,raw:string>>")).otherwise(F.array(_part(nothing, s["rest"])))
+        return (
+            F.when(s["at"] < s["next"], F.struct(s["done"].alias("done"), s["rest"].alias("rest"), s["next"].alias("next"), (s["at"] + 1).alias("at")))
+            .when(n.isNotNull(), F.struct(F.concat(s["done"], plain, F.array(_part(F.lit("card"), bare(n)))).alias("done"), sign.alias("rest"), (s["at"] + n).cast("int").alias("next"), (s["at"] + 1).alias("at")))
+            .otherwise(F.struct(s["done"].alias("done"), F.concat(s["rest"], group).alias("rest"), s["next"].alias("next"), (s["at"] + 1).alias("at")))
+        )
+
+    return F.aggregate(groups, start, step, lambda s: F.concat(s["done"], F.array(_part(nothing, s["rest"]))))
+
+
+def _run(raw: Column) -> Column:
+    """Parts of a run of digits that is no card as a whole: cards, then other numbers of persons in what is left."""
+    nothing = F.lit(None).cast("string")
+    inner = lambda parts, f: F.flatten(F.transform(parts, lambda p: F.when(p["kind"].isNull(), f(p["raw"])).otherwise(F.array(p))))
+
+    def others(rest: Column) -> Column:
+        found = F.regexp_extract_all(rest, F.lit(WITHIN), F.lit(0))
+        kind = lambda r: F.when(r.rlike(f"^(?:{PATTERNS['ssn']})$"), "ssn").otherwise("phone")
+        both = lambda t, i: F.when(i < F.size(found), F.array(_part(nothing, t), _part(kind(F.get(found, i)), F.get(found, i)))).otherwise(F.array(_part(nothing, t)))
+        return F.flatten(F.transform(F.split(rest, WITHIN, -1), both))
+
+    return inner(inner(_cards(raw, True), lambda r: _cards(r, False)), others)
+
+
 def _units(raw: Column, kind: Column) -> Column:
     """Parts ``kind, raw`` of a match that are replaced one by one; a part of kind null stays."""
-    part = lambda k, r: F.struct(k.cast("string").alias("kind"), r.alias("raw"))
+    part = _part
     nothing = F.lit(None).cast("string")
     words = F.regexp_extract_all(raw, F.lit(r"\S+\s*"), F.lit(0))
     bare = F.regexp_replace(F.element_at(words, 1), r"[.\s]+$", "")
@@ -178,8 +239,7 @@ def _units(raw: Column, kind: Column) -> Column:
 
     value = F.regexp_extract(raw, r"[A-Za-z0-9+/_.~-]{8,512}=*$", 0)
     secret = F.array(part(nothing, F.substr(raw, F.lit(1), F.length(raw) - F.length(value))), part(F.lit("secret"), value))
-    plain = F.when(kind != "number", kind)
-    return F.when(kind == "name", F.transform(words, one)).when(kind == "secret", secret).otherwise(F.array(part(plain, raw)))
+    return F.when(kind == "name", F.transform(words, one)).when(kind == "secret", secret).when(kind == "number", _run(raw)).otherwise(F.array(part(kind, raw)))
 
 
 def _canon(kind: Column, raw: Column) -> Column:
@@ -247,11 +307,11 @@ def found_in(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     """``docs`` with the text replaced, ``n_entities`` and ``kinds`` (``kind: number`` by kind, as a map)."""
     own = {c: f"_{uuid.uuid4().hex}_{c}" for c in ("digest", "found")}
-    parts = materialize(found_in(docs, text=text).select("digest", "place", F.col("kind").alias("of"), "unit", "part.kind", "part.raw").withColumn("canon", _canon(F.col("kind"), F.col("raw"))))
+    parts = materialize(found_in(docs, text=text).select("digest", "place", F.when(F.col("kind") == "number", F.coalesce("part.kind", "kind")).otherwise(F.col("kind")).alias("of"), ((F.col("unit") == 0) | (F.col("kind") == "number")).alias("head"), "unit", "part.kind", "part.raw").withColumn("canon", _canon(F.col("kind"), F.col("raw"))))
     made = assign(parts.where("kind is not null").select("kind", "canon").distinct(), key)
     told = made.select(F.col("kind").alias("k"), F.col("canon").alias("c"), "made")
-    shown = parts.join(told, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")), "left").select("digest", "place", "of", "unit", _formatted(F.col("kind"), F.col("raw"), F.col("made")).alias("shown"))
-    listed = F.array_sort(F.collect_list(F.struct("place", "unit", "of", "shown")))
+    shown = parts.join(told, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")), "left").select("digest", "place", "of", "head", "unit", _formatted(F.col("kind"), F.col("raw"), F.col("made")).alias("shown"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "unit", "of", "head", "shown")))
     by_text = materialize(shown.groupBy("digest").agg(listed.alias("found")).select(F.col("digest").alias(own["digest"]), F.col("found").alias(own["found"])))
 
     has = F.coalesce(_hinted(text), F.lit(False))
@@ -261,7 +321,7 @@ def surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     # What stands at a place, put together from its parts.
     at = lambda i: F.array_join(F.transform(F.filter(found, lambda x: x["place"] == i), lambda x: x["shown"]), "")
     whole = F.array_join(F.transform(between, lambda s, i: F.concat(s, at(i))), "")
-    heads = F.filter(found, lambda x: (x["unit"] == 0) & (x["of"] != "number"))
+    heads = F.filter(found, lambda x: x["head"] & (x["of"] != "number"))
     new = F.when(found.isNull(), F.col(text)).otherwise(whole)
     kinds = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(heads, lambda x: x["of"]))), lambda k: F.struct(k, F.size(F.filter(heads, lambda x: x["of"] == k)))))
     nothing = F.create_map().cast("map<string,int>")
