@@ -54,13 +54,28 @@ def _starts(words: tuple[str, ...] | list[str]) -> str:
     return f"(?=[{''.join(letters)}])(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), reverse=True))})" for c in letters) + ")"
 
 
+# What a secret stands behind, and its value: to the closing quote, or a run of anything but white space,
+# quotes and brackets, whose last sign is no comma and the like, up to the next named value.
+_VALUE = r"(?:[^\s\"'<>,;&)\]}]++|[,;&)\]}](?=[^\s\"'<>])(?![A-Za-z_][A-Za-z0-9_-]{0,40}[\"']?[ \t]{0,3}[:=]))++"
+_SOME = r"(?=[^\s\"'<>]*[\p{L}0-9])(?![0-9+(][0-9()-]* [0-9(]|[A-Z]{2}[0-9]{2} [A-Z0-9]{4})"  # not the head of a spaced number
+
+
+def _secret(words: tuple[str, ...], equals: str, bare: str) -> str:
+    quoted = r"(?:\"(?=[^\"\r\n]*[\p{L}0-9])[^\"\r\n]++(?=\"|\z)|'(?=[^'\r\n]*[\p{L}0-9])[^'\r\n]++(?='|\z))"
+    return rf"(?i:(?<![a-z0-9])(?:{'|'.join(words)}))[\"']?[ \t]{{0,3}}(?:[:=][ \t]{{0,3}}{quoted}|=[ \t]{{0,3}}[\"']?{equals}{_VALUE}|:[ \t]{{0,3}}[\"']?{bare}{_VALUE})"
+
+
+_LONG = r"(?=[A-Za-z0-9+/_.~-]{8})"
+_SIGNED = rf"(?:{_LONG}|{_SOME}(?=[^\s\"'<>]*[0-9!#$%*+/@\\^_|~]))"
+_SECRET = rf"(?=[PpSsTtAa])(?:{_secret(SECRET_WORDS[:3], f'(?:{_LONG}|{_SOME})', f'(?:{_LONG}|{_SOME})')}|{_secret(SECRET_WORDS[3:], f'(?:{_LONG}|{_SOME})', _SIGNED)})"
+_SECRET_HEAD = r"^(?i:" + "|".join(SECRET_WORDS) + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 _FIRST = _starts([n for names in FIRST_NAMES.values() for n in names])
 _TITLE = _starts([t for titles in TITLES.values() for t in titles])
 #: What each kind looks like, most telling first.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?=[PpSsTtAa])(?i:(?<![a-z0-9])(?:" + "|".join(SECRET_WORDS) + r"))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,512}=*",
+    "secret": _SECRET,
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9A-Za-z]|\.[0-9])",
@@ -73,8 +88,8 @@ PATTERNS = {
 #: Three of a row of four or more groups of four are no phone number.
 WITHIN = f"(?:{PATTERNS['ssn']})|(?!(?<=[0-9]{{4}}[ -])[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}|[0-9]{{4}}(?: [0-9]{{4}}){{2}} [0-9]|[0-9]{{4}}(?:-[0-9]{{4}}){{2}}-[0-9])(?:{PATTERNS['phone']})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A part of whatever has an entity, far cheaper to look for: an at sign, digits in a row, an IBAN's head, what a secret follows, the head of a name.
-HINT = r"@[A-Za-z0-9]|[0-9][0-9 .()-]{6}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[:=][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8}"
+#: A part of whatever has an entity, far cheaper to look for: an at sign, digits in a row, an IBAN's head, a sign behind a word that may name a secret, the head of a name.
+HINT = r"@[A-Za-z0-9]|[0-9][0-9 .()-]{6}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[:=](?<=[DdTtNnYy][\"']?[ \t]{0,3}[:=])"
 NAME_HINT = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_FIRST})\.? \p{{Lu}}"
 
 _LATIN = ("bdfghklmnprstvwz", "aeiou")
@@ -105,7 +120,7 @@ def _shaped(text: Column, stream: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
-        return F.when(c.rlike("^[0-9]$"), F.char(48 + b % 10)).when(c.rlike("^[a-z]$"), F.char(97 + b % span)).when(c.rlike("^[A-Z]$"), F.char(65 + b % span)).otherwise(c)
+        return F.when(c.rlike("^[0-9]$"), F.char(48 + b % 10)).when(c.rlike("^[a-z]$"), F.char(97 + b % span)).when(c.rlike("^[A-Z]$"), F.char(65 + b % span)).when(c.rlike(r"^\p{L}$"), F.char(97 + b % 26)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -237,9 +252,9 @@ def _units(raw: Column, kind: Column) -> Column:
         last = F.concat(F.lit("last:"), F.when(script == "cyrillic", gender).otherwise("n"), F.lit(":"), script)
         return part(F.when(titled & (i == 0), nothing).when(first, F.concat(F.lit("first:"), own, F.lit(":"), script)).otherwise(last), w)
 
-    value = F.regexp_extract(raw, r"[A-Za-z0-9+/_.~-]{8,512}=*$", 0)
-    secret = F.array(part(nothing, F.substr(raw, F.lit(1), F.length(raw) - F.length(value))), part(F.lit("secret"), value))
-    return F.when(kind == "name", F.transform(words, one)).when(kind == "secret", secret).when(kind == "number", _run(raw)).otherwise(F.array(part(kind, raw)))
+    head = F.regexp_extract(raw, _SECRET_HEAD, 0)
+    secret = F.array(part(nothing, head), part(F.lit("secret"), F.substr(raw, F.length(head) + 1)))
+    return F.when(kind == "name", F.transform(words, one)).when(kind == "secret", secret).when((kind == "number") & raw.rlike("^[0-9][0-9 -]*$"), _run(raw)).otherwise(F.array(part(F.when(kind != "number", kind), raw)))
 
 
 def _canon(kind: Column, raw: Column) -> Column:

@@ -116,3 +116,15 @@ def test_runs_of_digits_are_searched(spark):
         assert gone not in r.text and r.kinds == kinds and re.sub("[0-9]", "", r.text)[:4] == re.sub("[0-9]", "", text)[:4], (text, r.text, r.kinds)
     plain = ["no. 1234 5678 1234 5678 9", "1 234 567 890 123 456 789 012", " ".join(["12"] * 3000)]
     assert [r.text for r in replaced(spark, plain)] == plain
+
+
+def test_secrets_of_any_length(spark):
+    long = "aB3/" * 5000
+    cases = [
+        (f"token={long} end", long[-12:]), ("password: hunter2.", "hunter2"), ("password=Pa$$w0rd123 x", "0rd123"), ('{"password": "a b, c9"}', "c9"), ("secret=x7", "x7"), ("passwort: ÄÖü12", "ÄÖü"),
+        ("api_key='k1'", "k1"), ("token=abc&user=Bob", "abc"), ("password: 4111 1111 1111 1111", "1111"), ("secret: bcdefghi,jkl9", "jkl"),
+    ]
+    for r, (text, gone) in zip(replaced(spark, [c[0] for c in cases]), cases, strict=True):
+        assert gone not in r.text and r.n_entities == 1 and len(r.text) == len(text), (text[:60], r.text[:60])
+    plain = ["The secret: the end", "if token == other", "secret: ", "token: [1]"[:6], "password ="]
+    assert [r.text for r in replaced(spark, plain)][2:] == plain[2:] and replaced(spark, plain)[0].text == plain[0]
