@@ -14,8 +14,8 @@ and addresses at one domain stay at one domain.
 
 Collisions: two entities of a kind that come to one surrogate, or a surrogate
 that is itself an entity found, are hashed again (all but the first in the
-order of their hash) until there is none; where a format is too narrow for
-that, the operator fails and says so.
+order of their hash) until there is none.  Where a format is too narrow for that,
+surrogates grow by a sign a turn from the fourth turn on, as names do from the first.
 
 Only what was found is moved, not texts: distinct texts with entities go by their
 digest, the entities are reduced to distinct ones before they are checked, and the joins that a
@@ -140,9 +140,15 @@ def _syllables(letters: tuple[str, str], stream: Column, first: int, last: Colum
     return F.initcap(F.array_join(F.transform(F.sequence(F.lit(first), last), pair), ""))
 
 
+#: The turn from which surrogates grow by a sign a turn.
+WIDEN = 4
+
+
 def surrogate(key: str, kind: Column, canon: Column, turn: Column) -> Column:
     """The surrogate of an entity at its ``turn``-th hash, in canonical form."""
     stream = _stream(key, kind, canon, turn)
+    wide = F.greatest(turn.cast("int") - (WIDEN - 1), F.lit(0))  # signs beyond the own format, where that is too narrow
+    canon = F.when(kind.isin("card", "phone", "iban", "ssn"), F.concat(canon, F.repeat(F.lit("0"), wide))).when(kind == "email", F.concat_ws("@", F.concat(F.substring_index(canon, "@", 1), F.repeat(F.lit("x"), wide)), F.substring_index(canon, "@", -1))).when(kind == "secret", F.concat(canon, F.repeat(F.lit("x"), wide))).otherwise(canon)
     domain = F.substring_index(canon, "@", -1)
     host = _shaped(F.regexp_replace(domain, r"\.[^.]*$", ""), _stream(key, F.lit("domain"), domain))
     email = F.concat(_shaped(F.substring_index(canon, "@", 1), stream), F.lit("@"), host, F.lit(".example"))
@@ -274,7 +280,7 @@ def _formatted(kind: Column, raw: Column, made: Column) -> Column:
             own = c.rlike(signs)
             return F.struct(F.concat(s["text"], F.when(own, F.substring(made, s["next"], F.lit(1))).otherwise(c)).alias("text"), F.when(own, s["next"] + 1).otherwise(s["next"]).alias("next"))
 
-        return F.aggregate(F.split(raw, ""), start, step, lambda s: s["text"])
+        return F.aggregate(F.split(raw, ""), start, step, lambda s: F.concat(s["text"], F.substr(made, s["next"])))  # what a wider one has more
 
     capitals = (raw == F.upper(raw)) & (F.length(F.trim(raw)) > 1)
     name = F.concat(F.when(capitals, F.upper(made)).otherwise(made), F.regexp_extract(raw, r"\s*$", 0))
@@ -284,7 +290,7 @@ def _formatted(kind: Column, raw: Column, made: Column) -> Column:
     )
 
 
-def assign(entities: DataFrame, key: str, turns: int = 12) -> DataFrame:
+def assign(entities: DataFrame, key: str, turns: int = 64) -> DataFrame:
     """``kind, canon, made`` for distinct ``kind, canon``: distinct surrogates, none of them an entity."""
     family = F.regexp_replace("kind", ":.*", "")
     now = materialize(entities.select("kind", "canon", F.lit(0).alias("turn"), surrogate(key, F.col("kind"), F.col("canon"), F.lit(0)).alias("made")))

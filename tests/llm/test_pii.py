@@ -128,3 +128,15 @@ def test_secrets_of_any_length(spark):
         assert gone not in r.text and r.n_entities == 1 and len(r.text) == len(text), (text[:60], r.text[:60])
     plain = ["The secret: the end", "if token == other", "secret: ", "token: [1]"[:6], "password ="]
     assert [r.text for r in replaced(spark, plain)][2:] == plain[2:] and replaced(spark, plain)[0].text == plain[0]
+
+
+def test_narrow_formats_grow(spark):
+    import string
+
+    entities = [("email", f"{c}@corp.com") for c in string.ascii_lowercase] + [("email", f"{k}@corp.com") for k in range(10)] + [("secret", str(k)) for k in range(10)] + [("iban", f"DE{k}") for k in range(7)]
+    got = pii.assign(spark.createDataFrame(entities, "kind string, canon string"), "k").collect()
+    assert len(got) == len(entities) == len({(r.kind, r.made) for r in got})
+    assert not {(r.kind, r.made) for r in got} & set(entities) and len({r.made.partition("@")[2] for r in got if r.kind == "email"}) == 1
+    phones = [f"555-123-{k:04d}" for k in range(3)]
+    wide = spark.createDataFrame([("phone", p, "9" * 12) for p in phones], "kind string, raw string, made string")
+    assert {r.x for r in wide.select(pii._formatted(F.col("kind"), F.col("raw"), F.col("made")).alias("x")).collect()} == {"999-999-999999"}
