@@ -69,9 +69,13 @@ _LONG = r"(?=[A-Za-z0-9+/_.~-]{8})"
 _SIGNED = rf"(?:{_LONG}|{_SOME}(?=[^\s\"'<>]*[0-9!#$%*+/@\\^_|~]))"
 _SECRET = rf"(?=[PpSsTtAa])(?:{_secret(SECRET_WORDS[:3], f'(?:{_LONG}|{_SOME})', f'(?:{_LONG}|{_SOME})')}|{_secret(SECRET_WORDS[3:], f'(?:{_LONG}|{_SOME})', _SIGNED)})"
 _SECRET_HEAD = r"^(?i:" + "|".join(SECRET_WORDS) + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
-_NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
-_FIRST = _starts([n for names in FIRST_NAMES.values() for n in names])
-_TITLE = _starts([t for titles in TITLES.values() for t in titles])
+_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+_either = lambda words: [*words, *(w.upper() for w in words)]  # noqa: E731  as it is and in capitals
+_FIRST = _starts(_either([n for names in FIRST_NAMES.values() for n in names]))
+_TITLE = _starts(_either([t for titles in TITLES.values() for t in titles]))
+#: A further word of a name: no title, an initial only before another word.
+_MORE = rf"(?: (?!{_TITLE}(?!\p{{L}}))(?:{_NAME}(?!\p{{L}})|\p{{Lu}}\.?(?= \p{{Lu}}[\p{{L}}'’-])))"
+_INITIAL = r"^\p{Lu}\.?\s*$"
 #: What each kind looks like, most telling first.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -82,7 +86,7 @@ PATTERNS = {
     # A whole run of digit groups; those that belong to an address or a word behind them are none of it.
     "card": r"(?<![0-9A-Za-z.])(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -][0-9]++(?![A-Za-z]|\.[0-9]{1,3}\.[0-9]|[A-Za-z0-9._%+-]{0,64}@))*+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?|[0-9]{1,5}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{3,5}[ .-][0-9]{3,4}[ .-][0-9]{4}|\+[0-9]{8,15})(?![0-9A-Za-z])",
-    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}\.? (?:{_NAME}(?: {_NAME})?)|{_FIRST} {_NAME})(?!\p{{L}})",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLE}\.?(?= ))(?: {_TITLE}\.?(?= ))*+{_MORE}++|{_FIRST}{_MORE}++)(?!\p{{L}})",
 }
 #: What may stand in a run of digits that is no card as a whole.
 #: Three of a row of four or more groups of four are no phone number.
@@ -245,18 +249,22 @@ def _units(raw: Column, kind: Column) -> Column:
     part = _part
     nothing = F.lit(None).cast("string")
     words = F.regexp_extract_all(raw, F.lit(r"\S+\s*"), F.lit(0))
-    bare = F.regexp_replace(F.element_at(words, 1), r"[.\s]+$", "")
-    gender = F.when(bare.isin(*TITLES["m"], *FIRST_NAMES["m"]), "m").when(bare.isin(*TITLES["f"], *FIRST_NAMES["f"]), "f").otherwise("n")
-    titled = bare.isin(*[t for titles in TITLES.values() for t in titles])
+    bare = lambda w: F.regexp_replace(w, r"[.\s]+$", "")
+    of = lambda w, names: bare(w).isin(*_either(names))
+    head = F.element_at(words, 1)
+    gender = F.when(of(head, TITLES["m"] + FIRST_NAMES["m"]), "m").when(of(head, TITLES["f"] + FIRST_NAMES["f"]), "f").otherwise("n")
+    titles = F.size(F.filter(words, lambda w: of(w, [t for titles in TITLES.values() for t in titles])))
     script = F.when(raw.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    given = lambda w: F.when(F.trim(w).isin(*FIRST_NAMES["m"]), "m").when(F.trim(w).isin(*FIRST_NAMES["f"]), "f")
+    given = lambda w: F.when(of(w, FIRST_NAMES["m"]), "m").when(of(w, FIRST_NAMES["f"]), "f")
 
     def one(w: Column, i: Column) -> Column:
         own = F.coalesce(given(w), gender)
-        first = ((i == 0) & ~titled) | ((i == 1) & titled & ((F.size(words) > 2) | given(w).isNotNull()))
+        at, last_at = i - titles, F.size(words) - titles - 1
+        # Given names and initials before the last word; other words between may be surnames too.
+        first = ((at == 0) & ((last_at > 0) | given(w).isNotNull())) | ((at < last_at) & (given(w).isNotNull() | w.rlike(_INITIAL)))
         # A surname is the same entity whoever bears it, but its ending follows the script's gender.
         last = F.concat(F.lit("last:"), F.when(script == "cyrillic", gender).otherwise("n"), F.lit(":"), script)
-        return part(F.when(titled & (i == 0), nothing).when(first, F.concat(F.lit("first:"), own, F.lit(":"), script)).otherwise(last), w)
+        return part(F.when(at < 0, nothing).when(first, F.concat(F.lit("first:"), own, F.lit(":"), script)).otherwise(last), w)
 
     head = F.regexp_extract(raw, _SECRET_HEAD, 0)
     secret = F.array(part(nothing, head), part(F.lit("secret"), F.substr(raw, F.length(head) + 1)))
@@ -267,7 +275,7 @@ def _canon(kind: Column, raw: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(raw)).when(kind.isin("card", "ssn"), _digits(raw))
         .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), _digits(raw)))
-        .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind.rlike("^(first|last):"), F.lower(F.trim(raw))).otherwise(raw)
+        .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind.rlike("^(first|last):"), F.lower(F.trim(F.regexp_replace(raw, r"\.\s*$", "")))).otherwise(raw)
     )
 
 
@@ -282,7 +290,7 @@ def _formatted(kind: Column, raw: Column, made: Column) -> Column:
 
         return F.aggregate(F.split(raw, ""), start, step, lambda s: F.concat(s["text"], F.substr(made, s["next"])))  # what a wider one has more
 
-    capitals = (raw == F.upper(raw)) & (F.length(F.trim(raw)) > 1)
+    capitals = (raw == F.upper(raw)) & (F.length(F.trim(raw)) > 1) & ~raw.rlike(_INITIAL)
     name = F.concat(F.when(capitals, F.upper(made)).otherwise(made), F.regexp_extract(raw, r"\s*$", 0))
     return (
         F.when(made.isNull(), raw).when(kind.isin("card", "ssn"), fill("[0-9]")).when(kind == "phone", fill("[0-9+]")).when(kind == "iban", fill("[A-Z0-9]"))

@@ -140,3 +140,14 @@ def test_narrow_formats_grow(spark):
     phones = [f"555-123-{k:04d}" for k in range(3)]
     wide = spark.createDataFrame([("phone", p, "9" * 12) for p in phones], "kind string, raw string, made string")
     assert {r.x for r in wide.select(pii._formatted(F.col("kind"), F.col("raw"), F.col("made")).alias("x")).collect()} == {"999-999-999999"}
+
+
+def test_names_of_any_length(spark):
+    texts = ["Dr. Mary Ann Smith, Frau Smith", "so John Michael Smith went", "John Q. Smith.", "by MARY SMITH, MR. SMITH", "Prof. Dr. Hans Peter Karl Müller", "Anna Maria Garcia Lopez"]
+    got = replaced(spark, texts)
+    for r in got:
+        assert not re.search(r"Mary|Ann |Smith|John|Michael|Q\.|MARY|SMITH|Hans|Peter|Karl|Müller|Anna|Maria|Garcia|Lopez", r.text), r.text
+    m = re.fullmatch(r"Dr\. \w+ \w+ (\w+), Frau (\w+)", got[0].text)
+    assert m and m[1] == m[2] and re.fullmatch(rf"so \w+ \w+ {m[1]} went", got[1].text) and re.fullmatch(rf"\w+ [A-Z][a-z]+ {m[1]}\.", got[2].text)
+    assert re.fullmatch(rf"by [A-Z]+ {m[1].upper()}, MR\. {m[1].upper()}", got[3].text) and re.fullmatch(r"Prof\. Dr\. \w+ \w+ \w+ \w+", got[4].text)
+    assert [r.text for r in replaced(spark, ["MARY", "John Q.", "Dr. No one"[:3]])] == ["MARY", "John Q.", "Dr."]
