@@ -15,7 +15,9 @@ gaps are runs of equals, and a bulk-synchronous round treats a run at once:
    next round begins.  Documents that no gap holds open new sequences;
 3. each piece finds its place by length and rank.
 
-The rounds are best-fit decreasing on runs.  A run of gaps is split at most
+Step 2 is one sequential loop over the lengths in the driver's Python (``plan``), from the counts by length alone; no
+Spark job sweeps, settles conflicts or updates gaps.  It stands in for distributed rounds because the
+counts are at most one row per length whatever the input.  The rounds are best-fit decreasing on runs.  A run of gaps is split at most
 three times a length and each visit more than halves its gap, so the plan has
 at most 3 * capacity * log2(capacity) rows whatever the number of documents (67,584 for 2048):
 that is what is broadcast.  Pieces themselves never leave the executors, and
