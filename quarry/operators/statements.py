@@ -92,5 +92,5 @@ def create_experiment(engine):
 
 @query("SELECT * FROM (VALUES ('m')) AS t(\"Models\")", tables="part")
 def show_models(engine):
-    engine.sql("CREATE MODEL m WITH (model_class = 'LinearRegression', target_column = 'p_retailprice') AS (SELECT p_size, p_retailprice FROM part LIMIT 50)")
+    engine.sql("CREATE MODEL m WITH (model_class = 'LinearRegression', target_column = 'p_retailprice') AS (SELECT p_size, p_retailprice FROM part)")
     return engine.sql("SHOW MODELS")

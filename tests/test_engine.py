@@ -269,3 +269,17 @@ def test_streams_are_tables(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(r.n for r in spark.table("live_out").collect()) == 50
+
+
+def test_show_models_learns_from_the_whole_table(spark):
+    from harness import SF
+
+    from quarry.operators import statements
+    from quarry.operators.registry import engine_for
+
+    engine = engine_for(spark, SF, "part")
+    statements.show_models(engine)
+    statements.predict_model(engine)
+    fitted = [m[0] if isinstance(m, tuple) else m for m in (engine.schema().models["m"], engine.schema().models["price"])]
+    a, b = (m.stages[-1] for m in fitted)
+    assert a.intercept == pytest.approx(b.intercept) and list(a.coefficients) == pytest.approx(list(b.coefficients))
