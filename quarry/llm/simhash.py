@@ -391,7 +391,7 @@ def similar_pairs(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, rad
     without the pairs that lie in one component by then and only in the groups
     that have more.  Links of all rounds together connect whatever such pairs connect.  At similarity 0.8 a pair
     meets in some of the 48 blocks 97 times in a hundred, at 0.9 practically always;
-    3 in a thousand pairs at 0.8 are beyond the radius.
+    2 in a thousand pairs at 0.8 are beyond the radius.
     """
     kind = id_type(docs, id)
     plain = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
