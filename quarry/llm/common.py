@@ -82,6 +82,23 @@ def released(df: DataFrame) -> None:
         drop_path(df.sparkSession, file)
 
 
+#: A key that more than one in so many rows have is hot; there are fewer such keys than that.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, key: str, facts: DataFrame, of: str, times: str, total: int) -> DataFrame:
+    """``rows`` with the ``facts`` of their key, which is ``of`` there, once for each key; rows without any go.
+
+    ``times``: how many of the ``total`` rows have the key, at most.  Facts of hot keys are
+    broadcast, fewer than ``HOT`` rows; the others go by an ordinary
+    join, in which no key has more than ``total / HOT`` rows.  ``rows`` are read twice.
+    """
+    hot = facts.where(F.col(times) * HOT > total)
+    others = rows.join(F.broadcast(hot.select(F.col(of).alias("_hot"))), F.col(key) == F.col("_hot"), "left_anti")
+    here = rows.join(F.broadcast(hot), F.col(key) == F.col(of)).drop(of, times)
+    return here.unionAll(others.join(facts.where(F.col(times) * HOT <= total), F.col(key) == F.col(of)).drop(of, times))
+
+
 def quoted(names: list[str]) -> list[str]:
     """Column names as they are, whatever signs they hold."""
     return ["`" + n.replace("`", "``") + "`" for n in names]

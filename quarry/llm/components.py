@@ -1,8 +1,10 @@
 """Connected components of an edge list, by large-star and small-star rounds.
 
 Each round is two aggregations (partial ones come first, so the hub of a star
-costs one row per task) and joins that adaptive execution can split.  Nothing
-is collected but one checksum row a round.
+costs one row per task) and two joins with their results.  A join never sends
+the rows of a hub to one task: nodes that have more than a thousandth of all
+links are fewer than a thousand, and what is known of those is broadcast.  Nothing is
+collected but one checksum row a round.
 """
 
 from __future__ import annotations
@@ -10,19 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import join_hot, materialize, released
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """``edges``: u > v, as they are after every round."""
+    ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(ends).alias("e")).select("e.u", "e.v")
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).withColumnRenamed("u", "c").where("n > 0")
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return join_hot(up, "u", least, "c", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # m <= u < v
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    others = down.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "c")
+    others = join_hot(edges, "u", least.where("n > 1"), "c", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionAll(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
 
 
@@ -35,6 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or not mark.n:
             break
         before = mark
-        now = materialize(_small_star(_large_star(now)))
+        large = materialize(_large_star(now, mark.n))
+        released(now)
+        now = materialize(_small_star(large, mark.n))
+        released(large)
     # Now every node hangs on the smallest of its component, which is no u.
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -5,21 +5,34 @@ space, a shingle is ``size`` words joined by spaces (with fewer words the
 whole sequence), repeats count, and a bit is 1 if it is set in over half of
 the shingles' XXH64 (seed 42).  No words: zero.
 
-Links: fingerprints at ``radius`` or fewer differing bits.  Two such agree on
-at least one of ``radius + 1`` blocks of bits, so each distinct fingerprint goes
-to one group for each block.  In a group fingerprints are sorted by Gray
+Links: fingerprints at ``radius`` or fewer differing bits.  Cut into m > ``radius``
+blocks of bits, two such agree on all bits of some m - ``radius`` blocks, so each
+distinct fingerprint goes to one group for each choice of that many.  m
+grows with the number of fingerprints (5 to 8 for radius 4: 5, 15, 35, 70
+choices of 13, 21, 27, 32 bits), so that groups stay small at any size.
+In a group fingerprints are sorted by Gray
 rank, which puts those with shared bits side by side; runs of eight become a
 node that keeps the bits on which all agree (mask and pattern), runs of eight
 nodes the next level, up to one root.  The search descends over pairs of
 nodes, from (root, root), and drops a pair - whole groups of fingerprints - as
 soon as the differences on shared bits exceed the radius.
 
-Bounds: a task holds one group at a time.  A group of more than
-``group_limit`` distinct fingerprints is dealt by hash into parts, and each
-pair of parts becomes a group of its own; no pair is lost.  Of the pairs found
-in a group only a spanning forest leaves the task, so rows stay linear.
+Bounds: a task holds one group at a time.  Of a group of more than
+``group_limit`` distinct fingerprints (a dense cluster) first each is linked to those next to it in
+Gray order, over ranges, which mostly leaves one component; a group of one component is
+done.  Of others the largest component is dealt by hash into parts and what is not in it meets every part
+(where that is over ``group_limit`` too, each pair of parts becomes a group); no pair is lost.  Of
+the pairs found in a group only a spanning forest leaves the task, so rows stay linear.
 Exact copies share a fingerprint and are one row from the start.
 
+Texts of similarity ``threshold`` (``similar_links``): candidates agree on the
+four least of their shingles under some of twelve groups of four hash functions, and within a
+group are searched by the same index over 64-bit fingerprints; what is found is
+verified.  Blocks of bits can't make these groups: at similarity 0.8 fifteen bits
+in a hundred differ, so that 48 rows a text with blocks of 16 bits find 97
+pairs in a hundred, and blocks that are narrow enough to find a pair are too wide
+to keep groups small in a large corpus.
+
 Defined results: null text counts as empty; all texts without words share the
 fingerprint zero; rows with equal ids each get a row; ``component_id`` is the
 smallest id reachable (null ids count only if a component has no other).
@@ -27,20 +40,26 @@ smallest id reachable (null ids count only if a component has no other).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_type, map_batches, materialize
+from quarry.llm.common import id_type, join_hot, map_batches, materialize, quoted, released
 from quarry.llm.components import components
 from quarry.llm.minhash import shingles
 
 SEED = 42
 FANOUT = 8
+#: Fingerprints of a group, where they are dealt evenly.
+GROUP = 256
+#: Members of a block that each is compared with in Gray order.
+NEXT = 3
 #: Node pairs expanded at once; bounds the memory of a descent.
 SLICE = 8192
 
@@ -160,13 +179,15 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def forest(codes: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links within each group.
+def forest(codes: np.ndarray, starts: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links within each group, beyond those that ``label`` stands for.
 
     Two nodes whose members are all in one component need no look, so a dense
     cluster of n fingerprints costs far less than its n * n links.
+    ``label``: the place of the first member of the component that is known of each.
     """
-    index, label = GrayIndex(codes, starts), np.arange(len(codes))
+    index, first = GrayIndex(codes, starts), np.arange(len(codes)) if label is None else label
+    label = first.copy()
     seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def settled(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,41 +199,124 @@ def forest(codes: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarr
     for a, b in index.pairs(radius, settled):
         label = join(label, a, b)
         seen.clear()
-    tied = np.flatnonzero(label != np.arange(len(codes)))
+    heads = np.flatnonzero(first == np.arange(len(codes)))
+    tied = heads[label[heads] != heads]
     return codes[label[tied]], codes[tied]
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """Shift and width of ``radius + 1`` blocks that cover 64 bits."""
-    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def choices(radius: int, number: int) -> list[int]:
+    """Masks of 64 bits; codes at ``radius`` or fewer differences agree under one of them at least.
+
+    The more codes, the more bits: groups of at most ``GROUP`` where codes are dealt evenly.
+    """
+    for m in range(radius + 1, radius + 5):
+        edges = [round(64 * k / m) for k in range(m + 1)]
+        blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+        masks = [sum(chosen) for chosen in combinations(blocks, m - radius)]
+        if number >> min(x.bit_count() for x in masks) <= GROUP:
+            break
+    return masks
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(distinct: DataFrame, radius: int = 4, group_limit: int = 8192) -> DataFrame:
-    """``u, v``: links that connect whatever fingerprints of ``distinct(fp)`` are connected at all."""
-    keys = F.array(*[(F.lit(k).cast("bigint") * F.lit(1 << 40)) + F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for k, (at, width) in enumerate(blocks(radius))])
+    """``u, v``: links that connect whatever fingerprints of ``distinct(fp)`` are connected at all; a frame that is written already."""
+    masks = choices(radius, distinct.count())
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
     keyed = distinct.select(F.col("fp").alias("node"), "fp", F.explode(keys).alias("block"))
+    large = materialize(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("block"))
 
     def ties(rows: np.ndarray, change: np.ndarray) -> list[pa.RecordBatch]:
-        codes = rows[:, 0].astype(np.int64).view(np.uint64)
-        group = np.zeros(len(rows), np.int64)
-        group[change[1:]] = 1
-        order = np.lexsort((gray_rank(codes), np.cumsum(group)))
-        u, v = forest(codes[order], change, radius)
+        codes, group, order = _in_order(rows, change)
+        label = None
+        if rows.shape[1] > 4:  # components that are known
+            known, back = np.unique(np.stack([group, rows[order, 4]]), axis=1, return_inverse=True)
+            place = np.full(known.shape[1], len(codes))
+            np.minimum.at(place, back.ravel(), np.arange(len(codes)))
+            label = place[back.ravel()]
+        u, v = forest(codes, change, radius, label)
         return [pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])]
 
-    return _dealt(keyed, group_limit).mapInArrow(_by_group(ties), "u bigint, v bigint")
+    def searched(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(_by_group(ties), "u bigint, v bigint")
+
+    if large.isEmpty():
+        rows = keyed.select("fp", "block", F.lit(0).alias("part"), "node")
+        return materialize(searched(rows.repartition("block").sortWithinPartitions("block")))
+    rows = keyed.join(large, "block", "left_anti").select("fp", "block", F.lit(0).alias("part"), "node")
+    ordinary = materialize(searched(rows.repartition("block").sortWithinPartitions("block")))
+    hot = materialize(keyed.join(large, "block", "left_semi").select("fp", "block", "node"))
+    beside = materialize(_beside(hot, radius))
+    roots = components(beside)
+    labelled = materialize(hot.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("fp", "block", "node", F.coalesce("root", "node").alias("label")))
+    return ordinary.unionAll(beside).unionAll(materialize(searched(_dealt(labelled, group_limit))))
+
+
+def _in_order(rows: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes in Gray order within their groups, the groups' numbers, and the places of the rows."""
+    codes = rows[:, 0].astype(np.int64).view(np.uint64)
+    group = np.zeros(len(rows), np.int64)
+    group[change[1:]] = 1
+    group = np.cumsum(group)
+    order = np.lexsort((gray_rank(codes), group))
+    return codes[order], group, order
+
+
+def _gray(fp: Column) -> Column:
+    """The Gray rank of a fingerprint, as a number that sorts like it."""
+    for k in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, k))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _beside(keyed: DataFrame, radius: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``u, v`` within ``radius``: of each member of a block the next ``NEXT`` in Gray order, as far as they lie in one range.
+
+    ``keyed``: ``fp, block, node`` and at most one number, which ``fits`` compares.  Linear in the rows, however large a block.
+    """
+    ranked = keyed.withColumn("rank", _gray(F.col("fp")))
+    rows = ranked.repartitionByRange("block", "rank").sortWithinPartitions("block", "rank", "node").drop("rank")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            own = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            old = 0 if before is None else before.shape[1]
+            x = own if before is None else np.concatenate([before, own], axis=1)
+            for step in range(1, NEXT + 1):
+                first = max(0, old - step)  # pairs of rows that came before are told already
+                a, b = x[:, first:-step], x[:, first + step :]
+                near = (a[1] == b[1]) & (np.bitwise_count((a[0] ^ b[0]).view(np.uint64)) <= radius)
+                if fits is not None:
+                    near &= fits(a[3], b[3])
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[2][near]), pa.array(b[2][near])], names=["u", "v"])
+            before = x[:, -NEXT:]
+
+    return rows.mapInArrow(run, "u bigint, v bigint")
 
 
 def _dealt(keyed: DataFrame, group_limit: int) -> DataFrame:
-    """``fp, block, part, node`` and what else ``keyed`` has, sorted by group: a block, or of a large one a pair of its parts."""
+    """``fp, block, part, node`` and what else ``keyed`` has, sorted by group: a block of more than one ``label``, or of a large one its parts.
+
+    ``keyed`` is read from files.  Of a large block the rows of the most frequent label are dealt by hash into parts and
+    all others meet each part; where those are too many as well, each pair of parts is a group.
+    """
     more = [c for c in keyed.columns if c not in ("fp", "block", "node")]
-    parts = F.ceil(F.col("n") / F.lit(group_limit)).cast("int")
-    large = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select(F.col("block").alias("large"), parts.alias("parts"))
-    dealt = keyed.join(large, F.col("block") == F.col("large"), "left")
+    facts = (
+        keyed.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(F.col("block").alias("of")).agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1").select("of", "members", F.ceil(F.col("members") / F.lit(group_limit)).cast("int").alias("parts"), (F.col("members") - F.col("top.n")).alias("others"), F.col("top.label").alias("giant"))
+    )
+    rows = join_hot(keyed, "block", facts, "of", "members", keyed.count())
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, part) * F.lit(1 << 20) + F.greatest(k, part))
-    dealt = dealt.select("fp", "block", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(others).cast("array<bigint>")).alias("part"), "node", *more)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    pairs = F.transform(every, lambda k: F.least(k, part) * F.lit(1 << 20) + F.greatest(k, part))
+    at = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("others") > group_limit, pairs).when(F.col("label") == F.col("giant"), F.array(part)).otherwise(every)
+    dealt = rows.select("fp", "block", F.explode(at).alias("part"), "node", *more)
     return dealt.repartition("block", "part").sortWithinPartitions("block", "part")
 
 
@@ -246,39 +350,51 @@ def _by_group(found):
     return run
 
 
-def classes(prints: DataFrame, radius: int = 4, group_limit: int = 8192) -> DataFrame:
-    """``fp, component_id`` of every distinct fingerprint of ``prints(doc_id, fp)``."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _groups(prints: DataFrame, radius: int, group_limit: int) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row of ``prints(doc_id, fp)``, which is read from files."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct.select("fp"), radius, group_limit))
-    rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
-    return rooted.join(named, F.col("root") == F.col("of")).select("fp", "component_id")
+    rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    named = materialize(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("times")))
+    known = join_hot(rooted, "root", named, "of", "times", rooted.count()).select(F.col("fp").alias("own"), "n", "component_id")
+    return join_hot(prints.select("doc_id", "fp"), "fp", materialize(known), "own", "n", prints.count())
 
 
 def simhash_groups(docs: DataFrame, *, size: int = 4, radius: int = 4, group_limit: int = 8192, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
-    prints = materialize(fingerprints(docs, size=size, text=text, id=id))
-    named = classes(prints, radius, group_limit).select(F.col("fp").alias("own"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("own")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = _groups(materialize(fingerprints(docs, size=size, text=text, id=id)), radius, group_limit)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of the search by similarity: groups of hash functions, and how many a group has.
+ANCHORS, LEAST = 12, 4
+_rng = np.random.default_rng(64)
+_A = _rng.integers(0, 2**63, ANCHORS * LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, ANCHORS * LEAST, dtype=np.uint64) * np.uint64(2)
+_MIX = _rng.integers(0, 2**63, LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles hashed at once.
+BLOCK = 512
+
 
+def set_fingerprint(grams: np.ndarray) -> int:
+    """SimHash of a set of shingles; zero without any."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(grams), 65536):
+        total += np.unpackbits(grams[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(grams), bitorder="little").view(np.uint64)[0])
 
-#: Of the search by similarity: 64-bit fingerprints of a text, and the bits of a block.
-PRINTS, BLOCK_BITS = 12, 16
-_SEEDS = np.random.default_rng(64).integers(1, 2**63, PRINTS, dtype=np.uint64)
 
+def anchors(grams: np.ndarray) -> np.ndarray:
+    """``ANCHORS`` numbers, each mixed from the least values of ``LEAST`` hash functions over a set of shingles.
 
-def wide_fingerprint(text: str | None, size: int = 5) -> np.ndarray:
-    """``PRINTS`` SimHash fingerprints over the text's distinct shingles; zeros without words."""
-    x = np.unique(shingles(text, size))
-    if not len(x):
-        return np.zeros(PRINTS, np.uint64)
-    total = np.zeros(64 * PRINTS, np.int64)
-    for k in range(0, len(x), 4096):
-        h = (x[k : k + 4096, None] ^ _SEEDS) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        total += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(x), bitorder="little").view(np.uint64)
+    Sets of similarity s agree on one of these in s ** LEAST of all cases: at 0.8 they share some anchor 998 times in 1000.
+    """
+    least = np.full(ANCHORS * LEAST, ~np.uint64(0))
+    for k in range(0, len(grams), BLOCK):
+        np.minimum(least, (grams[k : k + BLOCK, None] * _A + _B).min(axis=0), out=least)
+    mixed = ((least ^ (least >> np.uint64(29))).reshape(ANCHORS, LEAST) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(ANCHORS, dtype=np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 def _set_hash(grams: np.ndarray) -> int:
@@ -286,8 +402,8 @@ def _set_hash(grams: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-#: Candidates of a text in a group, round by round; the last round has no bound.
-TURNS = (1, 16, None)
+#: Candidates of a text in a group, round by round behind the first; the last round has no bound.
+TURNS = (16, None)
 #: Pairs that a bounded round holds before it drops those beyond its bound.
 HELD_PAIRS = 1 << 20
 
@@ -303,42 +419,25 @@ def _open(blocks: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none, none, pa.array(blocks, pa.int64())], names=["u", "v", "block"])
 
 
-def _candidates(radius: int, threshold: float, close: int, most: int | None):
+def _fits(threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Numbers of shingles that don't rule the similarity out."""
+    return lambda a, b: np.minimum(a, b) >= threshold * np.maximum(a, b)
+
+
+def _candidates(radius: int, threshold: float, most: int | None):
     """Of whole groups the pairs ``u, v`` to verify, nearest first, at most ``most`` for each text and group; ``block`` names what has more.
 
     Pairs of one label need no look, nor those whose numbers of shingles rule the similarity out.
     """
+    fits = _fits(threshold)
 
     def found(rows: np.ndarray, change: np.ndarray) -> Iterator[pa.RecordBatch]:
         """``rows``: fp, block, part, node, shingles, label."""
-        codes = rows[:, 0].astype(np.int64).view(np.uint64)
-        group = np.zeros(len(rows), np.int64)
-        group[change[1:]] = 1
-        order = np.lexsort((gray_rank(codes), np.cumsum(group)))
-        codes, block, node, n, label = codes[order], *(rows[order, k] for k in (1, 3, 4, 5))
+        codes, _, order = _in_order(rows, change)
+        block, node, n, label = (rows[order, k] for k in (1, 3, 4, 5))
         index, seen = GrayIndex(codes, change), {}
-        fits = lambda a, b: np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
-        apart = lambda a, b: np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64)
-        none = np.iinfo(np.int64).max
-
-        def nearest() -> Iterator[pa.RecordBatch]:
-            """The first round has no labels: what is tied at fewer than ``close`` bits waits for the next."""
-            best, times = np.full(len(codes), none), np.zeros(len(codes), np.int64)
-
-            def settled(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                if level not in seen:
-                    seen[level] = np.maximum.reduceat(best, index.firsts[level])
-                return seen[level][b] < close << 40
-
-            for a, b in index.pairs(radius, settled):
-                keep = fits(a, b)
-                a, b = a[keep], b[keep]
-                np.minimum.at(best, b, (apart(a, b) << 40) + a)
-                np.add.at(times, b, 1)
-                seen.clear()
-            tied = np.flatnonzero(best < none)
-            yield _met([node[best[tied] & ((1 << 40) - 1)], node[tied], np.full(len(tied), -1)])
-            yield _open(block[(times > 1) | (best < close << 40)])
+        held, size = np.zeros((3, 0), np.int64), 0
+        more, fresh = np.zeros(len(codes), bool), []
 
         def settled(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             if level not in seen:
@@ -346,68 +445,68 @@ def _candidates(radius: int, threshold: float, close: int, most: int | None):
             low, high = seen[level]
             return (low[a] == high[b]) & (high[a] == low[b]) & (low[a] == high[a]) & ((a != b) | (level > 0))
 
-        def others() -> Iterator[pa.RecordBatch]:
-            held, size = np.zeros((3, 0), np.int64), 0
-            more, fresh = np.zeros(len(codes), bool), []
-
-            def bounded() -> np.ndarray:
-                x = np.concatenate([held, *fresh], axis=1)
-                x = x[:, np.lexsort((x[2], x[1], x[0]))]
-                first = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]]) if x.shape[1] else np.zeros(0, np.int64)
-                rank = np.arange(x.shape[1]) - np.repeat(first, np.diff(np.append(first, x.shape[1])))
-                more[x[0, rank >= most]] = True
-                return x[:, rank < most]
-
-            for a, b in index.pairs(radius, settled):
-                keep = (label[a] != label[b]) & fits(a, b)
-                a, b = a[keep], b[keep]
-                if most is None:
-                    yield _met([node[a], node[b], np.full(len(a), -1)])
-                    continue
-                fresh.append(np.stack([b, apart(a, b), a]))
-                size += len(a)
-                if size > HELD_PAIRS:
-                    held, size = bounded(), 0
-                    fresh.clear()
-            if most is not None:
-                b, _, a = bounded()
+        def bounded() -> np.ndarray:
+            x = np.concatenate([held, *fresh], axis=1)
+            x = x[:, np.lexsort((x[2], x[1], x[0]))]
+            first = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]]) if x.shape[1] else np.zeros(0, np.int64)
+            rank = np.arange(x.shape[1]) - np.repeat(first, np.diff(np.append(first, x.shape[1])))
+            more[x[0, rank >= most]] = True
+            return x[:, rank < most]
+
+        for a, b in index.pairs(radius, settled):
+            keep = (label[a] != label[b]) & fits(n[a], n[b])
+            a, b = a[keep], b[keep]
+            if most is None:
                 yield _met([node[a], node[b], np.full(len(a), -1)])
-                yield _open(block[more])
-
-        return nearest() if most == 1 else others()
+                continue
+            fresh.append(np.stack([b, np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64), a]))
+            size += len(a)
+            if size > HELD_PAIRS:
+                held, size = bounded(), 0
+                fresh.clear()
+        if most is not None:
+            b, _, a = bounded()
+            yield _met([node[a], node[b], np.full(len(a), -1)])
+            yield _open(block[more])
 
     return found
 
 
-def similar_pairs(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, radius: int = 18, close: int = 5, group_limit: int = 8192, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Links ``u, v`` of Jaccard similarity ``threshold`` or more, and ``doc_id, own`` of each row.
+def _features(docs: DataFrame, copies: int | None, size: int, text: str, id: str) -> DataFrame:
+    """``doc_id, words, own, shingles, fp, anchors`` of every row, and with ``copies`` the fingerprint ``copy`` over so many words."""
 
-    Texts with one shingle set are one node, ``own``, the hash of the set; rows with a
-    null id or a text without words are none.  Nodes that agree on a
-    block of bits of any fingerprint meet in a group.  Every pair that meets and whose first
-    fingerprints differ in ``radius`` bits or fewer is verified from the shingle sets, unless
-    verified links join it already or the numbers of shingles rule it out: first the nearest earlier
-    one of each text in a group, then up to 16, then all that are left, each round
-    without the pairs that lie in one component by then and only in the groups
-    that have more.  Links of all rounds together connect whatever such pairs connect.  At similarity 0.8 a pair
-    meets in some of the 48 blocks 97 times in a hundred, at 0.9 practically always;
-    2 in a thousand pairs at 0.8 are beyond the radius.
-    """
-    kind = id_type(docs, id)
-    plain = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-
-    def prints():
+    def make():
         def own(batch: pa.RecordBatch) -> dict:
             texts = [t.as_py() for t in batch.column(1)]
             sets = [np.unique(shingles(t, size)) for t in texts]
-            return {"doc_id": batch.column(0), "own": [_set_hash(x) for x in sets], "shingles": [len(x) for x in sets], "fp": [wide_fingerprint(t, size).view(np.int64) for t in texts], "words": [bool((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]}
+            out = {"doc_id": batch.column(0), "words": [len(x) > 0 for x in sets], "own": [_set_hash(x) for x in sets], "shingles": [len(x) for x in sets], "fp": [_signed(set_fingerprint(x)) for x in sets], "anchors": [anchors(x).view(np.int64) for x in sets]}
+            return out | ({} if copies is None else {"copy": [_signed(fingerprint(t, copies)) for t in texts]})
 
         return own
 
-    held = materialize(map_batches(plain, f"doc_id {kind}, own bigint, shingles bigint, fp array<bigint>, words boolean", prints).where("words").drop("words"))
-    nodes = materialize(held.groupBy("own").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
-    per = 64 // BLOCK_BITS
-    keys = F.array(*[F.lit(k) * F.lit(1 << BLOCK_BITS) + F.shiftrightunsigned(F.col("fp")[k // per], BLOCK_BITS * (k % per)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("bigint")) for k in range(PRINTS * per)])
+    schema = f"doc_id {id_type(docs, id)}, words boolean, own bigint, shingles bigint, fp bigint, anchors array<bigint>" + ", copy bigint" * (copies is not None)
+    return map_batches(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), schema, make)
+
+
+def similar_links(docs: DataFrame, features: DataFrame, *, threshold: float = 0.8, size: int = 5, radius: int = 22, group_limit: int = 8192, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Links ``u, v`` of Jaccard similarity ``threshold`` or more between the nodes of ``features``, which is read from files.
+
+    Texts with one shingle set are one node, ``own``, the hash of the set.  Nodes
+    that share an anchor meet in a group; an anchor that only one node has
+    goes before anything else moves.  Every pair that meets and whose
+    fingerprints differ in ``radius`` bits or fewer is verified from the shingle sets, unless
+    verified links join it already or the numbers of shingles rule it out: first the next few
+    in Gray order, over ranges of all groups, then up to 16 candidates of each text, then all that are left, the
+    later rounds without the pairs and groups that lie in one component by then.  Links of all rounds
+    together connect whatever such pairs connect.  At similarity 0.8 a pair meets 998 times in
+    1000; 2 in 100,000 are beyond the radius.
+    """
+    nodes = materialize(features.groupBy("own").agg(F.min("doc_id").alias("shown"), *[F.first(c).alias(c) for c in ("fp", "shingles", "anchors")]))
+    bare = materialize(nodes.select(F.col("own").alias("node"), F.explode("anchors").alias("block")))
+    times = materialize(bare.groupBy(F.col("block").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = join_hot(bare, "block", times, "of", "n", bare.count())
+    keyed = materialize(members.join(nodes.select("own", "fp", "shingles"), F.col("node") == F.col("own")).select("fp", "block", "node", "shingles"))
+    released(bare)
 
     def grams():
         def own(batch: pa.RecordBatch) -> dict:
@@ -416,48 +515,56 @@ def similar_pairs(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, rad
 
         return own
 
+    shown = nodes.join(keyed.select("node").distinct(), F.col("own") == F.col("node"), "left_semi").select("own", "shown")
+    texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(shown, F.col("doc_id") == F.col("shown")).select("own", "text")
+    made = materialize(map_batches(texts, "own bigint, made bigint, grams array<bigint>", grams).where("own = made").drop("made").dropDuplicates(["own"]))
+
     def verified(ties: DataFrame) -> DataFrame:
-        tied = ties.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        shown = held.join(tied, F.col("own") == F.col("node")).groupBy("own").agg(F.min("doc_id").alias("shown"))
-        texts = plain.join(shown, F.col("doc_id") == F.col("shown")).select("own", "text")
-        made = materialize(map_batches(texts, "own bigint, made bigint, grams array<bigint>", grams).where("own = made").dropDuplicates(["own"]))
         sets = lambda n, g: made.select(F.col("own").alias(n), F.col("grams").alias(g))
         both = ties.join(sets("x", "xs"), F.col("u") == F.col("x")).join(sets("y", "ys"), F.col("v") == F.col("y"))
         shared = F.size(F.array_intersect("xs", "ys"))
         return materialize(both.where(shared >= threshold * (F.size("xs") + F.size("ys") - shared)).select("u", "v"))
 
-    links = checked = left = None
+    ordered = lambda met: met.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    checked = materialize(ordered(_beside(keyed, radius, _fits(threshold))))
+    links, left = verified(checked), None
     for most in TURNS:
-        now = nodes.withColumn("label", F.col("own"))
-        if links is not None:
-            roots = components(links)
-            now = nodes.join(roots, F.col("own") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "own").alias("label"))
-        keyed = now.select(F.col("own").alias("node"), F.col("fp")[0].alias("fp"), F.explode(keys).alias("block"), "shingles", "label")
-        if left is not None:
-            keyed = keyed.join(left, "block", "left_semi").select("node", "fp", "block", "shingles", "label")
-        met = materialize(_dealt(keyed, group_limit).mapInArrow(_by_group(_candidates(radius, threshold, close, most)), "u bigint, v bigint, block bigint").distinct())
-        ties = met.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        ties = materialize(ties if checked is None else ties.join(checked, ["u", "v"], "left_anti"))
-        found = verified(ties)
-        links, checked = (found, ties) if links is None else (links.unionAll(found), checked.unionAll(ties))
+        roots = components(links)
+        labelled = keyed.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*keyed.columns, F.coalesce("root", "node").alias("label"))
+        labelled = materialize(labelled if left is None else labelled.join(left, "block", "left_semi").select(labelled.columns))
+        met = materialize(_dealt(labelled, group_limit).mapInArrow(_by_group(_candidates(radius, threshold, most)), "u bigint, v bigint, block bigint").distinct())
+        ties = materialize(ordered(met).join(checked, ["u", "v"], "left_anti"))
+        links, checked = links.unionAll(verified(ties)), checked.unionAll(ties)
         left = met.where("u is null").select("block")
         if left.isEmpty():
             break
-    return links, held.select("doc_id", "own")
+    return links
+
+
+def _without(docs: DataFrame, gone: DataFrame, id: str) -> DataFrame:
+    """``docs`` without the ids that ``gone`` holds."""
+    name = f"_{uuid.uuid4().hex}"
+    return docs.join(gone.toDF(name), docs[quoted([id])[0]] == F.col(name), "left_anti")
 
 
-def drop_similar(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, text: str = "text", id: str = "doc_id") -> DataFrame:
+def _similar_gone(docs: DataFrame, features: DataFrame, **options) -> DataFrame:
+    """Ids of the rows that a similar one with a smaller id stands for."""
+    held = features.where("words and doc_id is not null")
+    roots = components(similar_links(docs, held, **options))
+    named = materialize(held.select("doc_id", "own").join(roots, F.col("own") == F.col("node"), "left").select("doc_id", F.coalesce("root", "own").alias("root")))
+    least = materialize(named.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("stays"), F.count(F.lit(1)).alias("times")))
+    return join_hot(named, "root", least, "of", "times", named.count()).where("doc_id <> stays").select("doc_id")
+
+
+def drop_similar(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, group_limit: int = 8192, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of each group of similar texts, that with the smallest id, in the columns of ``docs``.
 
     Texts without words are left alone, and so are rows with a null id; rows that
     share an id stand or fall together.
     """
-    pairs, held = similar_pairs(docs, threshold=threshold, size=size, text=text, id=id)
-    roots = components(pairs)
-    named = held.join(roots, F.col("own") == F.col("node"), "left").select("doc_id", F.coalesce("root", "own").alias("root"))
-    least = named.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("stays"))
-    gone = named.join(least, F.col("root") == F.col("of")).where("doc_id <> stays").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id] == F.col("_gone"), "left_anti")
+    features = materialize(_features(docs, None, size, text, id))
+    gone = _similar_gone(docs, features, threshold=threshold, size=size, group_limit=group_limit, text=text, id=id)
+    return _without(docs, materialize(gone.distinct()), id)
 
 
 def drop_near_copies(docs: DataFrame, *, size: int = 4, radius: int = 4, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -466,5 +573,17 @@ def drop_near_copies(docs: DataFrame, *, size: int = 4, radius: int = 4, text: s
     Rows that share an id stand or fall together; rows with a null id stay.
     """
     groups = simhash_groups(docs, size=size, radius=radius, text=text, id=id)
-    gone = groups.where("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id] == F.col("_gone"), "left_anti")
+    return _without(docs, groups.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct(), id)
+
+
+def drop_near_duplicates(docs: DataFrame, *, copies: int = 4, radius: int = 4, threshold: float = 0.8, size: int = 5, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """What ``drop_near_copies`` (``copies`` words) and then ``drop_similar`` leave, in the columns of ``docs``.
+
+    The texts are read once for all fingerprints, and once more where shingle sets are compared.
+    """
+    features = materialize(_features(docs, copies, size, text, id))
+    groups = _groups(features.select("doc_id", F.col("copy").alias("fp")), radius, 8192)
+    first = materialize(groups.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
+    left = materialize(_without(features.drop("copy"), first, "doc_id"))
+    second = _similar_gone(docs, left, threshold=threshold, size=size, text=text, id=id)
+    return _without(docs, materialize(first.unionAll(second.distinct())), id)
