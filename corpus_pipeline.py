@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Groups are those of the operator's query (four words, four bits), and among
     what they leave those of texts whose five-word shingles are similar to 0.8 or more.
     """
-    return simhash.drop_similar(materialize(simhash.drop_near_copies(docs)))
+    return simhash.drop_near_duplicates(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
