@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     ``spark.checkpoint.dir`` of the session names it.  Where that is unset, a
-    local master gets a temporary folder and a cluster its warehouse, which is
-    shared too; a machine-local folder is never used on a cluster.
+    local master gets a temporary folder; a cluster has to name one, as a machine-local
+    folder is of no use there.
     """
     global _local_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -36,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         _local_dir = _local_dir or tempfile.mkdtemp(prefix="quarry-")
         return f"file://{_local_dir}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quarry_scratch"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, kind: str = "step") -> str:
@@ -104,11 +106,48 @@ def quoted(names: list[str]) -> list[str]:
     return ["`" + n.replace("`", "``") + "`" for n in names]
 
 
+def without(names: list[str], *taken: str) -> list[str]:
+    """The names but for those that Spark would take for one of ``taken``."""
+    low = {t.lower() for t in taken}
+    return [n for n in names if n.lower() not in low]
+
+
+def unused(*names: str) -> list[str]:
+    """Column names that no input has."""
+    mark = uuid.uuid4().hex
+    return [f"_{mark}_{n}" for n in names]
+
+
 def text_or_empty(column: str | Column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column, F.lit(""))
 
 
+_PLACE = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """A number for each shingle, in text order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    h = np.array([digest(w) for w in words], np.uint64)
+    size = min(size, len(h))
+    mixed = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        mixed += (h[k : len(h) - size + 1 + k] ^ np.uint64(k + 1)) * _PLACE[k]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def set_hash(grams: np.ndarray) -> int:
+    """A signed 64-bit number for a sorted set."""
+    h = xxhash.xxh3_64_intdigest(grams.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]]) -> DataFrame:
     """``mapInArrow`` over ``df``.
 

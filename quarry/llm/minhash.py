@@ -5,11 +5,14 @@ but ASCII white space, A-Z lower-cased; with fewer words the whole sequence).
 Each shingle is a 64-bit number mixed from its words' hashes; ``PERMUTATIONS``
 universal hash functions ``a * x + b mod 2**64`` (a odd, so each permutes the
 numbers) are taken over all shingles at once in numpy, and of each function
-the least value's upper 16 bits are kept.  The likeness of two fingerprints,
+the least value is kept as 16 bits of a mixture of all its bits (its upper bits alone tend to
+zero as texts grow).  The likeness of two fingerprints,
 the share of equal places, estimates the Jaccard similarity of the sets.
 
 Near duplicates: places are cut into bands; documents with an equal band are
-candidates and their Jaccard similarity is taken from the shingle sets.
+candidates and their Jaccard similarity is taken from the shingle sets.  A band that only
+one document has goes first, on the bare key; the groups of the others are searched as in
+``simhash.similar_links``, which keeps rows linear in copies and splits large groups.
 
 Defined results: null text counts as empty; texts without words have a
 fingerprint of their own, alike among themselves; equal texts have equal
@@ -20,49 +23,38 @@ rows with equal ids follow each other by the hash of their text, null ids last.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_type, map_batches, materialize, partitions
+from quarry.llm import simhash
+from quarry.llm.common import id_type, join_hot, map_batches, materialize, partitions, set_hash, shingles
+from quarry.llm.components import components
 
-PERMUTATIONS, WORDS, SEED = 128, 5, 20240229
+PERMUTATIONS, SEED = 128, 20240229
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, PERMUTATIONS, dtype=np.uint64)
-_PLACE = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles hashed at once: their table of values stays in a core's cache.
 BLOCK = 512
 
 
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """A number for each shingle, in text order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    h = np.array([digest(w) for w in words], np.uint64)
-    size = min(size, len(h))
-    mixed = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        mixed += (h[k : len(h) - size + 1 + k] ^ np.uint64(k + 1)) * _PLACE[k]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return mixed ^ (mixed >> np.uint64(32))
-
-
 def signature(text: str | None) -> np.ndarray:
     """The fingerprint as ``PERMUTATIONS`` 16-bit numbers."""
     x = shingles(text)
     least = np.full(PERMUTATIONS, ~np.uint64(0))
     for k in range(0, len(x), BLOCK):
         np.minimum(least, (x[k : k + BLOCK, None] * _A + _B).min(axis=0), out=least)
-    return (least >> np.uint64(48)).astype(">u2")
+    least = (least ^ (least >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((least ^ (least >> np.uint64(32))) & np.uint64(0xFFFF)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,8 +72,8 @@ def chained(docs: DataFrame, *, text: str = "text", id: str = "doc_id") -> DataF
 
     After the rows of a range comes, as a sentinel, the first row of the next
     range (after the last range: of the first).  Range bounds are the largest
-    ids of a range partitioning of the ids alone, a value for each range; texts
-    are moved once.
+    ids of a range partitioning of the ids alone, a value for each range, which a
+    task looks up by bisection; texts are moved once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -89,14 +81,26 @@ def chained(docs: DataFrame, *, text: str = "text", id: str = "doc_id") -> DataF
     tops = rows.select("doc_id").where("doc_id is not null").repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top"))
     bounds = sorted(r.top for r in tops.collect())  # at most ``ranges`` values
     if bounds:
-        known = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{id_type(rows, 'doc_id')}>")
-        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.element_at(known, F.least(at + step, F.lit(len(bounds)))) < F.col("doc_id")), at + step).otherwise(at))
-        part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below)
-        rows = rows.withColumn("part", part)
-        top = F.col("doc_id") == F.element_at(known, F.least(F.col("part") + 1, F.lit(len(bounds))))
+        sent, last = spark.sparkContext.broadcast(bounds), len(bounds)  # ``ranges`` values at most
+
+        @F.pandas_udf("long")
+        def place(ids: pd.Series) -> pd.Series:
+            """Twice the range, and one more for the range's largest id."""
+            found = []
+            for i in ids.tolist():
+                k = 0 if pd.isna(i) else min(bisect.bisect_left(sent.value, i), last - 1)
+                found.append(2 * k + (not pd.isna(i) and sent.value[k] == i))
+            return pd.Series(found, dtype="int64")
+
+        kind = id_type(rows, "doc_id")
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        # Whole numbers cross as such: with a null among them pandas would make fractions.
+        code = place(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(bounds[0]).cast("bigint")) if whole else F.col("doc_id"))
+        rows = rows.withColumn("code", code).withColumn("part", F.shiftright("code", 1).cast("int"))
+        top = F.col("doc_id").isNotNull() & (F.col("code") % 2 == 1)
         own = F.struct("part", F.lit(0).alias("sentinel"))
-        again = F.struct(((F.col("part") + 1) % len(bounds)).alias("part"), F.lit(1).alias("sentinel"))
+        again = F.struct(((F.col("part") + 1) % last).alias("part"), F.lit(1).alias("sentinel"))
+        rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("part")))
         rows = rows.select("doc_id", "text", F.explode(F.when(top, F.array(own, again)).otherwise(F.array(own))).alias("at")).select("at.part", "at.sentinel", "doc_id", "text")
     else:
         rows = rows.select(F.lit(0).alias("part"), F.lit(0).alias("sentinel"), "doc_id", "text")
@@ -149,36 +153,37 @@ def edit_check(docs: DataFrame, *, text: str = "text", id: str = "doc_id") -> Da
     return chained(docs, text=text, id=id).mapInArrow(run, schema)
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``doc_id, fingerprint, shingles array<bigint>``: the set that the fingerprint stands for."""
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, rows: int = 5, bands: int = 16, group_limit: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``doc_id, class_id`` of every row: documents of similarity ``threshold`` or more are in one class, directly or through others.
+
+    ``class_id`` is the smallest id in the class (null ids count only if it has no other).  Texts without words
+    are one class, equal texts are always.  At similarity 0.8 a pair has some of the 16 bands of 5 places
+    in common 998 times in 1000; every pair that has is verified, unless verified links join it already.
+    """
 
     def make():
         def own(batch: pa.RecordBatch) -> dict:
-            texts = [t.as_py() for t in batch.column(1)]
-            return {"doc_id": batch.column(0), "fingerprint": [signature(t).tobytes().hex() for t in texts], "shingles": [np.unique(shingles(t)).view(np.int64) for t in texts]}
+            out = {"doc_id": batch.column(0), "own": [], "words": [], "shingles": [], "fp": [], "anchors": []}
+            for t in batch.column(1):
+                x = shingles(t.as_py())
+                print_, x = signature(t.as_py()), np.unique(x)
+                keys = [xxhash.xxh3_64_intdigest(print_[k * rows : (k + 1) * rows].tobytes(), k) for k in range(bands)]
+                out["own"].append(set_hash(x))
+                out["words"].append(len(x) > 0)
+                out["shingles"].append(len(x))
+                out["fp"].append(int(print_[:4].view(">i8")[0]))  # an order that puts like fingerprints side by side
+                out["anchors"].append(np.array(keys, np.uint64).view(np.int64))
+            return out
 
         return own
 
-    return map_batches(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), f"doc_id {id_type(docs, id)}, fingerprint string, shingles array<bigint>", make)
-
-
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, rows: int = 5, text: str = "text", id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Links ``a, b, similarity`` (a < b) between representatives, and membership ``doc_id, class_id``.
-
-    Documents with one shingle set are a class, its least id the
-    representative, so copies of a text add no links.  Bands of ``rows`` places
-    join representatives; the join is on plain exchanges, which adaptive
-    execution splits where a band is common.
-    """
-    prints = materialize(fingerprints(docs, text=text, id=id).withColumn("set_id", F.sha2(F.concat_ws(",", "shingles"), 256)))
-    least = prints.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
-    member = prints.select("doc_id", "set_id").join(least, "set_id").select("doc_id", "class_id")
-    heads = materialize(prints.join(least, "set_id").where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", "fingerprint", "shingles"))
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fingerprint", 4 * rows * k + 1, 4 * rows).alias("value")) for k in range(PERMUTATIONS // rows)])
-    dealt = heads.where(F.size("shingles") > 0).select("class_id", F.explode(bands).alias("at")).select("class_id", F.xxhash64("at.band", "at.value").alias("band"))
-    left, right = dealt.toDF("a", "band"), dealt.toDF("b", "other")
-    pairs = left.join(right, (F.col("band") == F.col("other")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    x, y = heads.select(F.col("class_id").alias("x"), F.col("shingles").alias("xs")), heads.select(F.col("class_id").alias("y"), F.col("shingles").alias("ys"))
-    both = pairs.join(x, F.col("a") == F.col("x")).join(y, F.col("b") == F.col("y"))
-    shared = F.size(F.array_intersect("xs", "ys"))
-    return both.select("a", "b", (shared / (F.size("xs") + F.size("ys") - shared)).alias("similarity")).where(F.col("similarity") >= threshold), member
+    if rows * bands > PERMUTATIONS:
+        raise ValueError(f"{bands} bands of {rows} places are more than {PERMUTATIONS}")
+    schema = f"doc_id {id_type(docs, id)}, own bigint, words boolean, shingles bigint, fp bigint, anchors array<bigint>"
+    plain = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    features = materialize(map_batches(plain, schema, make))
+    links = simhash.similar_links(plain, features.where("words and doc_id is not null"), threshold=threshold, radius=64, group_limit=group_limit)
+    roots = components(links)
+    rooted = materialize(features.join(roots, F.col("own") == F.col("node"), "left").select("doc_id", F.coalesce("root", "own").alias("root")))
+    named = materialize(rooted.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("times")))
+    return join_hot(rooted, "root", named, "of", "times", rooted.count()).select("doc_id", "class_id")

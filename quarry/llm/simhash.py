@@ -28,7 +28,7 @@ Exact copies share a fingerprint and are one row from the start.
 Texts of similarity ``threshold`` (``similar_links``): candidates agree on the
 four least of their shingles under some of twelve groups of four hash functions, and within a
 group are searched by the same index over 64-bit fingerprints; what is found is
-verified.  Blocks of bits can't make these groups: at similarity 0.8 fifteen bits
+verified from the shingle sets within the task, and only a spanning forest of the verified links leaves it.  Blocks of bits can't make these groups: at similarity 0.8 fifteen bits
 in a hundred differ, so that 48 rows a text with blocks of 16 bits find 97
 pairs in a hundred, and blocks that are narrow enough to find a pair are too wide
 to keep groups small in a large corpus.
@@ -50,9 +50,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_type, join_hot, map_batches, materialize, quoted, released
+from quarry.llm.common import id_type, join_hot, map_batches, materialize, quoted, released, set_hash, shingles
 from quarry.llm.components import components
-from quarry.llm.minhash import shingles
 
 SEED = 42
 FANOUT = 8
@@ -60,6 +59,8 @@ FANOUT = 8
 GROUP = 256
 #: Members of a block that each is compared with in Gray order.
 NEXT = 3
+#: Sets that one is compared with at once.
+CHECKED = 256
 #: Node pairs expanded at once; bounds the memory of a descent.
 SLICE = 8192
 
@@ -231,12 +232,7 @@ def links(distinct: DataFrame, radius: int = 4, group_limit: int = 8192) -> Data
 
     def ties(rows: np.ndarray, change: np.ndarray) -> list[pa.RecordBatch]:
         codes, group, order = _in_order(rows, change)
-        label = None
-        if rows.shape[1] > 4:  # components that are known
-            known, back = np.unique(np.stack([group, rows[order, 4]]), axis=1, return_inverse=True)
-            place = np.full(known.shape[1], len(codes))
-            np.minimum.at(place, back.ravel(), np.arange(len(codes)))
-            label = place[back.ravel()]
+        label = _first_places(group, rows[order, 4]) if rows.shape[1] > 4 else None  # components that are known
         u, v = forest(codes, change, radius, label)
         return [pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])]
 
@@ -252,7 +248,7 @@ def links(distinct: DataFrame, radius: int = 4, group_limit: int = 8192) -> Data
     beside = materialize(_beside(hot, radius))
     roots = components(beside)
     labelled = materialize(hot.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("fp", "block", "node", F.coalesce("root", "node").alias("label")))
-    return ordinary.unionAll(beside).unionAll(materialize(searched(_dealt(labelled, group_limit))))
+    return ordinary.unionAll(beside).unionAll(materialize(searched(_sorted(_dealt(labelled, group_limit)))))
 
 
 def _in_order(rows: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,6 +261,14 @@ def _in_order(rows: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[order], group, order
 
 
+def _first_places(group: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of each row the place of the first one of its group and label."""
+    known, back = np.unique(np.stack([group, label]), axis=1, return_inverse=True)
+    place = np.full(known.shape[1], len(label))
+    np.minimum.at(place, back.ravel(), np.arange(len(label)))
+    return place[back.ravel()]
+
+
 def _gray(fp: Column) -> Column:
     """The Gray rank of a fingerprint, as a number that sorts like it."""
     for k in (1, 2, 4, 8, 16, 32):
@@ -299,24 +303,30 @@ def _beside(keyed: DataFrame, radius: int, fits: Callable[[np.ndarray, np.ndarra
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
-def _dealt(keyed: DataFrame, group_limit: int) -> DataFrame:
-    """``fp, block, part, node`` and what else ``keyed`` has, sorted by group: a block of more than one ``label``, or of a large one its parts.
+def _dealt(keyed: DataFrame, group_limit: int, weight: Column | None = None, weight_limit: int = 1) -> DataFrame:
+    """``fp, block, part, node`` and what else ``keyed`` has, to be sorted by group: a block of more than one ``label``, or of a large one its parts.
 
-    ``keyed`` is read from files.  Of a large block the rows of the most frequent label are dealt by hash into parts and
+    ``keyed`` is read from files.  Of a large block, by rows or by ``weight``, the rows of the most frequent label are dealt by hash into parts and
     all others meet each part; where those are too many as well, each pair of parts is a group.
     """
+    weight = F.lit(0) if weight is None else weight
     more = [c for c in keyed.columns if c not in ("fp", "block", "node")]
     facts = (
-        keyed.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(F.col("block").alias("of")).agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1").select("of", "members", F.ceil(F.col("members") / F.lit(group_limit)).cast("int").alias("parts"), (F.col("members") - F.col("top.n")).alias("others"), F.col("top.label").alias("giant"))
+        keyed.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+        .groupBy(F.col("block").alias("of")).agg(F.sum("n").alias("members"), F.sum("w").alias("w"), F.max(F.struct("n", "label", "w")).alias("top"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1")
+        .select("of", "members", F.ceil(F.greatest(F.col("members") / F.lit(group_limit), F.col("w") / F.lit(weight_limit))).cast("int").alias("parts"),
+                ((F.col("members") - F.col("top.n") > group_limit) | (F.col("w") - F.col("top.w") > weight_limit)).alias("others"), F.col("top.label").alias("giant"))
     )
     rows = join_hot(keyed, "block", facts, "of", "members", keyed.count())
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = F.transform(every, lambda k: F.least(k, part) * F.lit(1 << 20) + F.greatest(k, part))
-    at = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("others") > group_limit, pairs).when(F.col("label") == F.col("giant"), F.array(part)).otherwise(every)
-    dealt = rows.select("fp", "block", F.explode(at).alias("part"), "node", *more)
+    at = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("others"), pairs).when(F.col("label") == F.col("giant"), F.array(part)).otherwise(every)
+    return rows.select("fp", "block", F.explode(at).alias("part"), "node", *more)
+
+
+def _sorted(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("block", "part").sortWithinPartitions("block", "part")
 
 
@@ -397,26 +407,8 @@ def anchors(grams: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def _set_hash(grams: np.ndarray) -> int:
-    h = xxhash.xxh3_64_intdigest(grams.tobytes())
-    return h - (1 << 64) if h >> 63 else h
-
-
-#: Candidates of a text in a group, round by round behind the first; the last round has no bound.
-TURNS = (16, None)
-#: Pairs that a bounded round holds before it drops those beyond its bound.
-HELD_PAIRS = 1 << 20
-
-
-def _met(batch: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in batch], names=["u", "v", "block"])
-
-
-def _open(blocks: np.ndarray) -> pa.RecordBatch:
-    """Blocks that hold candidates beyond the bound."""
-    blocks = np.unique(blocks)
-    none = pa.nulls(len(blocks), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.array(blocks, pa.int64())], names=["u", "v", "block"])
+#: Shingles that a group holds, but for one text that has more by itself.
+HELD_SHINGLES = 2_000_000
 
 
 def _fits(threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -424,52 +416,87 @@ def _fits(threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return lambda a, b: np.minimum(a, b) >= threshold * np.maximum(a, b)
 
 
-def _candidates(radius: int, threshold: float, most: int | None):
-    """Of whole groups the pairs ``u, v`` to verify, nearest first, at most ``most`` for each text and group; ``block`` names what has more.
+def _alike(sizes: np.ndarray, grams: np.ndarray, threshold: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of some sets are alike to one, by a table of marks over the shingles of all."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    _, ids = np.unique(grams, return_inverse=True)
+    marks = np.zeros(len(grams) + 1, np.int64)
 
-    Pairs of one label need no look, nor those whose numbers of shingles rule the similarity out.
-    """
+    def check(a: int, others: np.ndarray) -> np.ndarray:
+        mine = ids[starts[a] : ends[a]]
+        marks[mine] = 1
+        before = np.cumsum(sizes[others]) - sizes[others]
+        at = np.arange(sizes[others].sum()) + np.repeat(starts[others] - before, sizes[others])
+        shared = np.add.reduceat(marks[ids[at]], before)
+        marks[mine] = 0
+        return shared >= threshold * (sizes[a] + sizes[others] - shared)
+
+    return check
+
+
+def _verified_forest(radius: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows ``fp, block, part, shingles, label, node, grams``, sorted by group, the links ``u, v`` that join what isn't joined yet, group by group."""
     fits = _fits(threshold)
 
-    def found(rows: np.ndarray, change: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``rows``: fp, block, part, node, shingles, label."""
-        codes, _, order = _in_order(rows, change)
-        block, node, n, label = (rows[order, k] for k in (1, 3, 4, 5))
-        index, seen = GrayIndex(codes, change), {}
-        held, size = np.zeros((3, 0), np.int64), 0
-        more, fresh = np.zeros(len(codes), bool), []
+    def links(columns: list[np.ndarray], grams: np.ndarray) -> pa.RecordBatch:
+        fp, sizes, label, node = columns
+        codes = fp.view(np.uint64)
+        order = np.argsort(gray_rank(codes), kind="stable")
+        codes, size, node = codes[order], sizes[order], node[order]
+        first = _first_places(np.zeros(len(codes), np.int64), label[order])
+        ends = np.cumsum(sizes)
+        check = _alike(size, np.concatenate([grams[ends[k] - sizes[k] : ends[k]] for k in order]), threshold)
+        index, known, seen, out = GrayIndex(codes, np.zeros(1, np.int64)), [first.copy()], {}, []
 
         def settled(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             if level not in seen:
-                seen[level] = tuple(f.reduceat(label, index.firsts[level]) for f in (np.minimum, np.maximum))
+                seen[level] = tuple(f.reduceat(known[0], index.firsts[level]) for f in (np.minimum, np.maximum))
             low, high = seen[level]
             return (low[a] == high[b]) & (high[a] == low[b]) & (low[a] == high[a]) & ((a != b) | (level > 0))
 
-        def bounded() -> np.ndarray:
-            x = np.concatenate([held, *fresh], axis=1)
-            x = x[:, np.lexsort((x[2], x[1], x[0]))]
-            first = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]]) if x.shape[1] else np.zeros(0, np.int64)
-            rank = np.arange(x.shape[1]) - np.repeat(first, np.diff(np.append(first, x.shape[1])))
-            more[x[0, rank >= most]] = True
-            return x[:, rank < most]
-
         for a, b in index.pairs(radius, settled):
-            keep = (label[a] != label[b]) & fits(n[a], n[b])
+            keep = fits(size[a], size[b])
             a, b = a[keep], b[keep]
-            if most is None:
-                yield _met([node[a], node[b], np.full(len(a), -1)])
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
+            for x, others in zip(a[cuts], np.split(b, cuts[1:]), strict=True) if len(a) else ():
+                while len(others := others[known[0][others] != known[0][x]]):  # in parts, as what is found joins others too
+                    now, others = others[:CHECKED], others[CHECKED:]
+                    alike = now[check(x, now)]
+                    if len(alike):
+                        heads, at = np.unique(known[0][alike], return_index=True)
+                        out += [(node[x], node[y]) for y in alike[at]]
+                        known[0] = join(known[0], np.full(len(heads), x), alike[at])
+                        seen.clear()
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, grams, key = [], [], None
+
+        def flush() -> pa.RecordBatch:
+            return links([np.concatenate([h[k] for h in held]) for k in range(4)], np.concatenate(grams))
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            fresh.append(np.stack([b, np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64), a]))
-            size += len(a)
-            if size > HELD_PAIRS:
-                held, size = bounded(), 0
-                fresh.clear()
-        if most is not None:
-            b, _, a = bounded()
-            yield _met([node[a], node[b], np.full(len(a), -1)])
-            yield _open(block[more])
+            fp, block, part, size, label, node = (batch.column(k).to_numpy().astype(np.int64) for k in range(6))
+            lists = batch.column(6)
+            flat, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
+            for start, end in zip(cuts, np.append(cuts[1:], len(fp)), strict=True):
+                if key is not None and key != (block[start], part[start]):
+                    yield flush()
+                    held, grams = [], []
+                key = (block[start], part[start])
+                held.append([x[start:end] for x in (fp, size, label, node)])
+                grams.append(flat[offsets[start] : offsets[end]])
+        if held:
+            yield flush()
 
-    return found
+    return run
 
 
 def _features(docs: DataFrame, copies: int | None, size: int, text: str, id: str) -> DataFrame:
@@ -479,7 +506,7 @@ def _features(docs: DataFrame, copies: int | None, size: int, text: str, id: str
         def own(batch: pa.RecordBatch) -> dict:
             texts = [t.as_py() for t in batch.column(1)]
             sets = [np.unique(shingles(t, size)) for t in texts]
-            out = {"doc_id": batch.column(0), "words": [len(x) > 0 for x in sets], "own": [_set_hash(x) for x in sets], "shingles": [len(x) for x in sets], "fp": [_signed(set_fingerprint(x)) for x in sets], "anchors": [anchors(x).view(np.int64) for x in sets]}
+            out = {"doc_id": batch.column(0), "words": [len(x) > 0 for x in sets], "own": [set_hash(x) for x in sets], "shingles": [len(x) for x in sets], "fp": [_signed(set_fingerprint(x)) for x in sets], "anchors": [anchors(x).view(np.int64) for x in sets]}
             return out | ({} if copies is None else {"copy": [_signed(fingerprint(t, copies)) for t in texts]})
 
         return own
@@ -488,18 +515,17 @@ def _features(docs: DataFrame, copies: int | None, size: int, text: str, id: str
     return map_batches(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), schema, make)
 
 
-def similar_links(docs: DataFrame, features: DataFrame, *, threshold: float = 0.8, size: int = 5, radius: int = 22, group_limit: int = 8192, text: str = "text", id: str = "doc_id") -> DataFrame:
+def similar_links(docs: DataFrame, features: DataFrame, *, threshold: float = 0.8, size: int = 5, radius: int = 20, group_limit: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Links ``u, v`` of Jaccard similarity ``threshold`` or more between the nodes of ``features``, which is read from files.
 
     Texts with one shingle set are one node, ``own``, the hash of the set.  Nodes
     that share an anchor meet in a group; an anchor that only one node has
-    goes before anything else moves.  Every pair that meets and whose
-    fingerprints differ in ``radius`` bits or fewer is verified from the shingle sets, unless
-    verified links join it already or the numbers of shingles rule it out: first the next few
-    in Gray order, over ranges of all groups, then up to 16 candidates of each text, then all that are left, the
-    later rounds without the pairs and groups that lie in one component by then.  Links of all rounds
-    together connect whatever such pairs connect.  At similarity 0.8 a pair meets 998 times in
-    1000; 2 in 100,000 are beyond the radius.
+    goes before anything else moves.  First the next few in Gray order are verified, over ranges of all groups, which
+    settles most groups of near copies at a cost linear in their rows.  In each group that then has more than one
+    component, every pair whose fingerprints differ in ``radius`` bits or fewer is verified
+    unless verified links join it already or the numbers of shingles rule it out.  The links together
+    connect whatever such pairs connect.  At similarity 0.8 a pair meets 998 times in
+    1000; 2 in 10,000 are beyond the radius.
     """
     nodes = materialize(features.groupBy("own").agg(F.min("doc_id").alias("shown"), *[F.first(c).alias(c) for c in ("fp", "shingles", "anchors")]))
     bare = materialize(nodes.select(F.col("own").alias("node"), F.explode("anchors").alias("block")))
@@ -511,7 +537,7 @@ def similar_links(docs: DataFrame, features: DataFrame, *, threshold: float = 0.
     def grams():
         def own(batch: pa.RecordBatch) -> dict:
             sets = [np.unique(shingles(t.as_py(), size)) for t in batch.column(1)]
-            return {"own": batch.column(0), "made": [_set_hash(x) for x in sets], "grams": [x.view(np.int64) for x in sets]}
+            return {"own": batch.column(0), "made": [set_hash(x) for x in sets], "grams": [x.view(np.int64) for x in sets]}
 
         return own
 
@@ -519,26 +545,21 @@ def similar_links(docs: DataFrame, features: DataFrame, *, threshold: float = 0.
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(shown, F.col("doc_id") == F.col("shown")).select("own", "text")
     made = materialize(map_batches(texts, "own bigint, made bigint, grams array<bigint>", grams).where("own = made").drop("made").dropDuplicates(["own"]))
 
-    def verified(ties: DataFrame) -> DataFrame:
-        sets = lambda n, g: made.select(F.col("own").alias(n), F.col("grams").alias(g))
-        both = ties.join(sets("x", "xs"), F.col("u") == F.col("x")).join(sets("y", "ys"), F.col("v") == F.col("y"))
-        shared = F.size(F.array_intersect("xs", "ys"))
-        return materialize(both.where(shared >= threshold * (F.size("xs") + F.size("ys") - shared)).select("u", "v"))
-
-    ordered = lambda met: met.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    checked = materialize(ordered(_beside(keyed, radius, _fits(threshold))))
-    links, left = verified(checked), None
-    for most in TURNS:
-        roots = components(links)
-        labelled = keyed.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*keyed.columns, F.coalesce("root", "node").alias("label"))
-        labelled = materialize(labelled if left is None else labelled.join(left, "block", "left_semi").select(labelled.columns))
-        met = materialize(_dealt(labelled, group_limit).mapInArrow(_by_group(_candidates(radius, threshold, most)), "u bigint, v bigint, block bigint").distinct())
-        ties = materialize(ordered(met).join(checked, ["u", "v"], "left_anti"))
-        links, checked = links.unionAll(verified(ties)), checked.unionAll(ties)
-        left = met.where("u is null").select("block")
-        if left.isEmpty():
-            break
-    return links
+    ties = _beside(keyed, radius, _fits(threshold)).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sets = lambda n, g: made.select(F.col("own").alias(n), F.col("grams").alias(g))
+    both = ties.join(sets("x", "xs"), F.col("u") == F.col("x")).join(sets("y", "ys"), F.col("v") == F.col("y"))
+    shared = F.size(F.array_intersect("xs", "ys"))
+    first = materialize(both.where(shared >= threshold * (F.size("xs") + F.size("ys") - shared)).select("u", "v"))
+
+    roots = components(first)
+    labelled = materialize(keyed.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*keyed.columns, F.coalesce("root", "node").alias("label")))
+    dealt = materialize(_dealt(labelled, group_limit, F.col("shingles"), HELD_SHINGLES))
+    # Sets travel only to groups that still have something to join.
+    whole = dealt.join(made.withColumnRenamed("own", "of"), F.col("node") == F.col("of")).select("fp", "block", "part", "shingles", "label", "node", "grams")
+    second = materialize(_sorted(whole).mapInArrow(_verified_forest(radius, threshold), "u bigint, v bigint"))
+    for done in (nodes, times, keyed, made, labelled, dealt):
+        released(done)
+    return first.unionAll(second)
 
 
 def _without(docs: DataFrame, gone: DataFrame, id: str) -> DataFrame:
@@ -556,7 +577,7 @@ def _similar_gone(docs: DataFrame, features: DataFrame, **options) -> DataFrame:
     return join_hot(named, "root", least, "of", "times", named.count()).where("doc_id <> stays").select("doc_id")
 
 
-def drop_similar(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, group_limit: int = 8192, text: str = "text", id: str = "doc_id") -> DataFrame:
+def drop_similar(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, group_limit: int = 4096, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of each group of similar texts, that with the smallest id, in the columns of ``docs``.
 
     Texts without words are left alone, and so are rows with a null id; rows that

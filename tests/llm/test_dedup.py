@@ -170,7 +170,7 @@ def test_no_candidate_shadows_another(spark):
     sets = {i: np.unique(simhash.shingles(t, 5)) for i, t in rows}
     anchors, prints = {i: simhash.anchors(x) for i, x in sets.items()}, {i: simhash.set_fingerprint(x) for i, x in sets.items()}
     pairs = [(a, a + 1) for a in range(0, len(rows), 2) if alike(a, a + 1) >= 0.8]
-    meet = [(a, b) for a, b in pairs if (anchors[a] == anchors[b]).any() and (prints[a] ^ prints[b]).bit_count() <= 22]
+    meet = [(a, b) for a, b in pairs if (anchors[a] == anchors[b]).any() and (prints[a] ^ prints[b]).bit_count() <= 20]
     assert len(meet) >= 0.99 * len(pairs) >= 200
     want = plain_components(grams, meet)
     docs = frame(spark, rows)
