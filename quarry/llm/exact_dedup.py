@@ -9,9 +9,11 @@ exchange on both sides, so adaptive execution can split a hot digest.
 
 Defined results: a null text counts as empty; of equal texts within a batch
 the largest ``doc_id`` stays (a null id only when all are null); rows that
-repeat both id and text are all marked ``kept`` when their id is; a text that
+repeat both id and text are all marked ``kept`` when their id is, and of those ``drop_copies``
+keeps the one whose columns come first as JSON; a text that
 an earlier batch brought in is dropped and ``keep_id`` names the earlier row.
-Further columns, whatever their names, are carried along.
+Further columns, whatever their names, are carried along; those that bear a result's name, in any case, give way
+in ``exact_dedup`` and stay in ``drop_copies``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_path, materialize, partitions, quoted, scratch_path, text_or_empty
+from quarry.llm.common import drop_path, materialize, partitions, quoted, scratch_path, text_or_empty, unused, without
+
+
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 class DigestIndex:
@@ -76,11 +81,13 @@ def verdicts(docs: DataFrame, index: DigestIndex, *, text: str = "text", id: str
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, *, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``docs`` with ``keep_id, group_size, kept, text_sha256`` for every row, dropped ones too."""
-    index = index or DigestIndex(docs.sparkSession, id_type=dict(docs.dtypes)[id])
+    own = None if index else DigestIndex(docs.sparkSession, id_type=dict(docs.dtypes)[id])
     mark = f"_{uuid.uuid4().hex}"
-    found = verdicts(docs, index, text=text, id=id)
+    found = verdicts(docs, index or own, text=text, id=id)
+    if own:
+        own.drop()  # the verdicts are written
     found = found.select(*[F.col(c).alias(f"{mark}_{c}") for c in found.columns])
-    old = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    old = without(docs.columns, *RESULTS)
     rows = docs.withColumn(f"{mark}_own", F.unhex(F.sha2(text_or_empty(text), 256))).join(found.hint("merge"), F.col(f"{mark}_own") == F.col(f"{mark}_digest"))
     return rows.select(
         *quoted(old),
@@ -92,7 +99,22 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, *, text: str
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None, *, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows that stay, in the columns of ``docs``."""
-    hidden = {c: f"_own_{c}" for c in ("keep_id", "group_size", "kept", "text_sha256") if c in docs.columns}
-    kept = exact_dedup(docs.withColumnsRenamed(hidden), index, text=text, id=id).where("kept").drop("keep_id", "group_size", "kept", "text_sha256")
-    return kept.withColumnsRenamed({v: k for k, v in hidden.items()}).select(quoted(docs.columns))
+    """The rows that stay, one for each text, in the columns of ``docs``."""
+    own = None if index else DigestIndex(docs.sparkSession, id_type=dict(docs.dtypes)[id])
+    digest, mark = unused("digest", "mark")
+    found = verdicts(docs, index or own, text=text, id=id)
+    if own:
+        own.drop()
+    stay = found.where("fresh").select(F.col("digest").alias(digest), F.col("keep_id").alias(mark))
+    own_digest = F.unhex(F.sha2(text_or_empty(text), 256))
+    kept = docs.withColumn(f"{digest}_own", own_digest).join(stay.hint("merge"), F.col(f"{digest}_own") == F.col(digest))
+    kept = kept.where(F.col(quoted([id])[0]).eqNullSafe(F.col(mark)))
+    # Rows that repeat id and text are rare: narrow rows tell whether there are any.
+    again = materialize(docs.groupBy(own_digest.alias(f"{mark}_digest"), F.col(id).alias(f"{mark}_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(f"{mark}_digest"))
+    if again.isEmpty():
+        return kept.select(quoted(docs.columns))
+    rows = kept.withColumn(mark, F.struct(*quoted(docs.columns)))
+    alone = rows.join(again, F.col(f"{digest}_own") == F.col(f"{mark}_digest"), "left_anti").select(mark)
+    repeated = rows.join(again.distinct(), F.col(f"{digest}_own") == F.col(f"{mark}_digest"), "left_semi")
+    first = repeated.groupBy(f"{digest}_own").agg(F.min_by(mark, F.to_json(mark)).alias(mark)).select(mark)
+    return alone.unionAll(first).select(*[F.col(mark).getField(c).alias(c) for c in docs.columns])

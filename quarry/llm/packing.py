@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -55,8 +56,9 @@ class Tokenizer:
     """Ids of whole texts by a byte-level BPE in the tokenizers library's JSON format, special tokens not added.
 
     Where ids follow the order of merges (checked), the faster ranks coder
-    gives the same ids; else the library itself encodes.  Pieces between spaces
-    are kept in a bounded memo.
+    gives the same ids; else the library itself encodes.  Tokens that the vocabulary adds, special ones too,
+    have their own ids where they stand in a text, as in the library, and the text is cut there first.
+    Pieces between spaces are kept in a bounded memo.
     """
 
     def __init__(self, source: str):
@@ -66,7 +68,9 @@ class Tokenizer:
             from tokenizers import Tokenizer as Library
 
             self.library = Library.from_str(source)
-            self.library.encode_special_tokens = True
+        added = sorted((t for t in spec.get("added_tokens", []) if t["content"]), key=lambda t: -len(t["content"]))  # of two at one place the longer
+        self.added = {t["content"]: np.array([t["id"]], np.uint32).tobytes() for t in added}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
         self.starts = Memo(self._ids)
         self.inner = Memo(lambda piece: self._ids(" " + piece))
 
@@ -74,6 +78,8 @@ class Tokenizer:
     def _ranked(spec: dict):
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            return None  # the library knows their rules
         if model.get("type", "BPE") != "BPE" or not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
             return None
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -81,7 +87,7 @@ class Tokenizer:
         if any(x >= y for x, y in zip(made, made[1:], strict=False)):
             return None
         letters = _byte_letters()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"] for t in spec.get("added_tokens", [])}  # never made by merges
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
         if any(bytes([b]) not in ranks for b in range(256)) or len(ranks) != 256 + len(merges) or made and min(made) <= max(ranks[bytes([b])] for b in range(256)):
             return None
@@ -100,6 +106,11 @@ class Tokenizer:
             return b""
         if not self.fast:
             return self._ids(text)
+        if self.cuts is None or not self.cuts.search(text):
+            return self._plain(text)
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.cuts.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = pieces(text)
         return self.starts[first] + b"".join(map(self.inner.__getitem__, rest))
 

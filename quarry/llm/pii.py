@@ -8,9 +8,9 @@ Each distinct entity (kind and canonical form) gets one surrogate of its kind
 and format from a keyed hash: digits for digits, letters for letters of the
 same case, hexadecimal for hexadecimal, a valid check digit for a card number,
 the same country of a phone number or IBAN, a name of the same
-gender and script.  The same entity has the same surrogate everywhere; a name
+gender and script.  The hash is HMAC-SHA256.  The same entity has the same surrogate everywhere; a name
 is replaced word by word, so "Ms Ann Lee" and "Ann Lee" stay the same person,
-and addresses at one domain stay at one domain.
+and addresses at one domain stay at one domain, which no other domain comes to.
 
 Collisions: two entities of a kind that come to one surrogate, or a surrogate
 that is itself an entity found, are hashed again (all but the first in the
@@ -29,12 +29,14 @@ text, whatever their names, are carried along.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, quoted, released, without
 
 # Words before a name, by gender where they tell it.
 TITLES = {"m": ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Госпожа"), "n": ("Dr", "Prof", "Professor", "Доктор")}
@@ -76,9 +78,14 @@ _TITLE = _starts(_either([t for titles in TITLES.values() for t in titles]))
 #: A further word of a name: no title, an initial only before another word.
 _MORE = rf"(?: (?!{_TITLE}(?!\p{{L}}))(?:{_NAME}(?!\p{{L}})|\p{{Lu}}\.?(?= \p{{Lu}}[\p{{L}}'’-])))"
 _INITIAL = r"^\p{Lu}\.?\s*$"
+# Possessive: the stack that backtracking over labels takes would grow with their number.  Where the longest run of
+# labels ends in no domain, a shorter one may.
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\."
+_TOP = r"[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+_EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:(?:{_LABEL}(?=[A-Za-z0-9]))++{_TOP}|(?:{_LABEL}){{1,8}}{_TOP})"
 #: What each kind looks like, most telling first.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": _EMAIL,
     "secret": _SECRET,
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -112,21 +119,33 @@ def _letter(letters: str, number: Column) -> Column:
     return F.substring(F.lit(letters), number % len(letters) + 1, F.lit(1))
 
 
+def _mac(key: str, *parts: Column) -> Column:
+    """HMAC-SHA256 of the parts, in hexadecimal."""
+    own = key.encode("utf-8")
+    own = (hashlib.sha256(own).digest() if len(own) > 64 else own).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in own)) for x in (0x36, 0x5C))
+    said = F.encode(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), "utf-8")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 256))), 256)
+
+
 def _stream(key: str, *parts: Column) -> Column:
     """128 bytes in hexadecimal, from the key and the parts."""
-    return F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(k), *[p.cast("string") for p in parts]), 256) for k in "0123"])
+    return F.concat(*[_mac(key, F.lit(k), *parts) for k in "0123"])
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _shaped(text: Column, stream: Column) -> Column:
     """Digits for digits, letters for letters of their case (hexadecimal if all are); signs stay."""
     hexadecimal = text.rlike("^[0-9a-f]+$") | text.rlike("^[0-9A-F]+$")
-    span = F.when(hexadecimal, F.lit(6)).otherwise(F.lit(26))
 
-    def one(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
+    def one(c: Column, b: Column, span: Column) -> Column:
         return F.when(c.rlike("^[0-9]$"), F.char(48 + b % 10)).when(c.rlike("^[a-z]$"), F.char(97 + b % span)).when(c.rlike("^[A-Z]$"), F.char(65 + b % span)).when(c.rlike(r"^\p{L}$"), F.char(97 + b % 26)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return _let(F.when(hexadecimal, F.lit(6)).otherwise(F.lit(26)), lambda span: F.array_join(F.transform(F.split(text, ""), lambda c, i: one(c, _byte(stream, i), span)), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -150,12 +169,18 @@ WIDEN = 4
 
 def surrogate(key: str, kind: Column, canon: Column, turn: Column) -> Column:
     """The surrogate of an entity at its ``turn``-th hash, in canonical form."""
-    stream = _stream(key, kind, canon, turn)
+    return _let(_stream(key, kind, canon, turn), lambda stream: _made(stream, kind, canon, turn))
+
+
+def _made(stream: Column, kind: Column, canon: Column, turn: Column) -> Column:
     wide = F.greatest(turn.cast("int") - (WIDEN - 1), F.lit(0))  # signs beyond the own format, where that is too narrow
-    canon = F.when(kind.isin("card", "phone", "iban", "ssn"), F.concat(canon, F.repeat(F.lit("0"), wide))).when(kind == "email", F.concat_ws("@", F.concat(F.substring_index(canon, "@", 1), F.repeat(F.lit("x"), wide)), F.substring_index(canon, "@", -1))).when(kind == "secret", F.concat(canon, F.repeat(F.lit("x"), wide))).otherwise(canon)
-    domain = F.substring_index(canon, "@", -1)
-    host = _shaped(F.regexp_replace(domain, r"\.[^.]*$", ""), _stream(key, F.lit("domain"), domain))
-    email = F.concat(_shaped(F.substring_index(canon, "@", 1), stream), F.lit("@"), host, F.lit(".example"))
+    longer = F.repeat(F.lit("x"), wide)
+    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
+    name = F.regexp_replace(canon, r"\.[^.]*$", "")
+    # A mailbox is told apart within its domain, which has a surrogate of its own.
+    email = F.concat(_shaped(F.concat(local, longer), stream), F.lit("@"), domain)
+    host = F.concat(_shaped(F.concat(name, longer), stream), F.lit(".example"))
+    canon = F.when(kind.isin("card", "phone", "iban", "ssn"), F.concat(canon, F.repeat(F.lit("0"), wide))).when(kind == "secret", F.concat(canon, longer)).otherwise(canon)
     body = lambda keep: F.concat(F.substring(canon, F.lit(1), keep), _shaped(F.substr(canon, keep + 1), stream))
     changed = body(F.lit(1))
     check = F.substring(changed, F.lit(1), F.length(changed) - 1)
@@ -163,17 +188,17 @@ def surrogate(key: str, kind: Column, canon: Column, turn: Column) -> Column:
     # Private addresses, and reserved ones when those run short.
     ip = F.concat_ws(".", F.when(turn < 4, F.lit(10)).otherwise(240 + _byte(stream, F.lit(3)) % 15).cast("string"), *[_byte(stream, F.lit(k)).cast("string") for k in range(3)])
     more = (2 + turn).cast("int")  # names grow as turns go on
-    name = F.when(kind.endswith("cyrillic"), _syllables(_CYRILLIC, stream, 0, more)).otherwise(_syllables(_LATIN, stream, 0, more))
+    word = F.when(kind.endswith("cyrillic"), _syllables(_CYRILLIC, stream, 0, more)).otherwise(_syllables(_LATIN, stream, 0, more))
     female, cyrillic = kind.contains(":f:"), kind.endswith("cyrillic")
     end = (
         F.when(kind.startswith("first"), F.when(cyrillic, F.when(female, "на").otherwise("н")).otherwise(F.when(female, "na").otherwise("n")))
         .otherwise(F.when(cyrillic, F.when(female, "ева").otherwise("ев")).otherwise("son"))
     )
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
+        F.when(kind == "email", email).when(kind == "host", host).when(kind == "ip", ip).when(kind == "card", card)
         .when(kind == "phone", body(F.when(canon.startswith("+"), F.lit(2)).otherwise(F.lit(0))))
         .when(kind == "iban", body(F.lit(2))).when(kind == "ssn", F.concat(F.lit("9"), F.substr(body(F.lit(0)), F.lit(2))))
-        .when(kind.rlike("^(first|last):"), F.concat(name, end)).otherwise(body(F.lit(0)))
+        .when(kind.rlike("^(first|last):"), F.concat(word, end)).otherwise(body(F.lit(0)))
     )
 
 
@@ -268,12 +293,13 @@ def _units(raw: Column, kind: Column) -> Column:
 
     head = F.regexp_extract(raw, _SECRET_HEAD, 0)
     secret = F.array(part(nothing, head), part(F.lit("secret"), F.substr(raw, F.length(head) + 1)))
-    return F.when(kind == "name", F.transform(words, one)).when(kind == "secret", secret).when((kind == "number") & raw.rlike("^[0-9][0-9 -]*$"), _run(raw)).otherwise(F.array(part(F.when(kind != "number", kind), raw)))
+    address = F.array(part(F.lit("email"), raw), part(nothing, F.lit("@")), part(F.lit("host"), F.substring_index(raw, "@", -1)))
+    return F.when(kind == "name", F.transform(words, one)).when(kind == "email", address).when(kind == "secret", secret).when((kind == "number") & raw.rlike("^[0-9][0-9 -]*$"), _run(raw)).otherwise(F.array(part(F.when(kind != "number", kind), raw)))
 
 
 def _canon(kind: Column, raw: Column) -> Column:
     return (
-        F.when(kind == "email", F.lower(raw)).when(kind.isin("card", "ssn"), _digits(raw))
+        F.when(kind.isin("email", "host"), F.lower(raw)).when(kind.isin("card", "ssn"), _digits(raw))
         .when(kind == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), _digits(raw)))
         .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind.rlike("^(first|last):"), F.lower(F.trim(F.regexp_replace(raw, r"\.\s*$", "")))).otherwise(raw)
     )
@@ -291,10 +317,11 @@ def _formatted(kind: Column, raw: Column, made: Column) -> Column:
         return F.aggregate(F.split(raw, ""), start, step, lambda s: F.concat(s["text"], F.substr(made, s["next"])))  # what a wider one has more
 
     capitals = (raw == F.upper(raw)) & (F.length(F.trim(raw)) > 1) & ~raw.rlike(_INITIAL)
+    shown = F.substring_index(made, "@", 1)  # of an address its mailbox; the host follows as a part of its own
     name = F.concat(F.when(capitals, F.upper(made)).otherwise(made), F.regexp_extract(raw, r"\s*$", 0))
     return (
         F.when(made.isNull(), raw).when(kind.isin("card", "ssn"), fill("[0-9]")).when(kind == "phone", fill("[0-9+]")).when(kind == "iban", fill("[A-Z0-9]"))
-        .when(kind.rlike("^(first|last):"), name).when(kind == "email", F.when(capitals, F.upper(made)).otherwise(made)).otherwise(made)
+        .when(kind.rlike("^(first|last):"), name).when(kind.isin("email", "host"), F.when(capitals, F.upper(shown)).otherwise(shown)).otherwise(made)
     )
 
 
@@ -303,7 +330,7 @@ def assign(entities: DataFrame, key: str, turns: int = 64) -> DataFrame:
     family = F.regexp_replace("kind", ":.*", "")
     now = materialize(entities.select("kind", "canon", F.lit(0).alias("turn"), surrogate(key, F.col("kind"), F.col("canon"), F.lit(0)).alias("made")))
     for turn in range(1, turns + 1):
-        rank = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon"), 256)
+        rank = _mac(key, F.col("kind"), F.col("canon"))
         first = now.groupBy(family.alias("f"), "made").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"))
         clash = first.where("n > 1").select("f", F.col("made").alias("m"), "least")
         real = now.select(family.alias("f"), F.col("canon").alias("m")).distinct().withColumn("real", F.lit(True))
@@ -333,28 +360,32 @@ def found_in(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return matches.select("digest", "place", "raw", "kind", F.posexplode(_units(F.col("raw"), F.col("kind"))).alias("unit", "part"))
 
 
-def surrogates(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
-    """``docs`` with the text replaced, ``n_entities`` and ``kinds`` (``kind: number`` by kind, as a map)."""
+def surrogates(docs: DataFrame, key: str, *, text: str = "text", count: str = "n_entities", kinds: str = "kinds") -> DataFrame:
+    """``docs`` with the text replaced, ``count`` and ``kinds`` (``kind: number`` by kind, as a map).
+
+    Columns that bear the names of these two, in any case, give way.
+    """
     own = {c: f"_{uuid.uuid4().hex}_{c}" for c in ("digest", "found")}
     parts = materialize(found_in(docs, text=text).select("digest", "place", F.when(F.col("kind") == "number", F.coalesce("part.kind", "kind")).otherwise(F.col("kind")).alias("of"), ((F.col("unit") == 0) | (F.col("kind") == "number")).alias("head"), "unit", "part.kind", "part.raw").withColumn("canon", _canon(F.col("kind"), F.col("raw"))))
     made = assign(parts.where("kind is not null").select("kind", "canon").distinct(), key)
     told = made.select(F.col("kind").alias("k"), F.col("canon").alias("c"), "made")
     shown = parts.join(told, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")), "left").select("digest", "place", "of", "head", "unit", _formatted(F.col("kind"), F.col("raw"), F.col("made")).alias("shown"))
-    listed = F.array_sort(F.collect_list(F.struct("place", "unit", "of", "head", "shown")))
-    by_text = materialize(shown.groupBy("digest").agg(listed.alias("found")).select(F.col("digest").alias(own["digest"]), F.col("found").alias(own["found"])))
+    # Places of a text count from zero without a gap, so that each is looked up by its number.
+    units = F.array_sort(F.collect_list(F.struct("unit", "shown")))
+    by_place = shown.groupBy("digest", "place").agg(F.array_join(F.transform(units, lambda x: x["shown"]), "").alias("shown"), F.collect_list(F.when(F.col("head") & (F.col("of") != "number"), F.col("of"))).alias("heads"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "shown", "heads")))
+    by_text = materialize(by_place.groupBy("digest").agg(listed.alias("found")).select(F.col("digest").alias(own["digest"]), F.col("found").alias(own["found"])))
+    released(parts)
 
     has = F.coalesce(_hinted(text), F.lit(False))
     hit = docs.where(has).withColumn(f"{own['digest']}_text", F.unhex(F.sha2(text, 256))).join(by_text, F.col(f"{own['digest']}_text") == F.col(own["digest"]), "left")
     found = F.col(own["found"])
-    between = F.split(F.col(text), ANY, -1)
-    # What stands at a place, put together from its parts.
-    at = lambda i: F.array_join(F.transform(F.filter(found, lambda x: x["place"] == i), lambda x: x["shown"]), "")
-    whole = F.array_join(F.transform(between, lambda s, i: F.concat(s, at(i))), "")
-    heads = F.filter(found, lambda x: x["head"] & (x["of"] != "number"))
+    whole = F.array_join(F.transform(F.split(F.col(text), ANY, -1), lambda s, i: F.concat(s, F.coalesce(F.get(found, i)["shown"], F.lit("")))), "")
+    heads = F.flatten(F.transform(found, lambda x: x["heads"]))
     new = F.when(found.isNull(), F.col(text)).otherwise(whole)
-    kinds = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(heads, lambda x: x["of"]))), lambda k: F.struct(k, F.size(F.filter(heads, lambda x: x["of"] == k)))))
+    by_kind = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(heads)), lambda k: F.struct(k, F.size(F.filter(heads, lambda x: x == k)))))
     nothing = F.create_map().cast("map<string,int>")
-    names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    changed = hit.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.coalesce(F.size(heads), F.lit(0)).alias("n_entities"), F.coalesce(kinds, nothing).alias("kinds"))
-    clean = docs.where(~has).select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("n_entities"), nothing.alias("kinds"))
+    names = without(docs.columns, count, kinds)
+    changed = hit.select(*[new.alias(c) if c == text else F.col(quoted([c])[0]) for c in names], F.coalesce(F.size(heads), F.lit(0)).alias(count), F.coalesce(by_kind, nothing).alias(kinds))
+    clean = docs.where(~has).select(*quoted(names), F.lit(0).alias(count), nothing.alias(kinds))
     return changed.unionByName(clean)

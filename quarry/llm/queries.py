@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, class_lm, exact_dedup, minhash, packing, pii, simhash, toxicity, warc, wordpiece
 from quarry.llm.common import materialize, scratch_path, table
 
-#: Parameter of the surrogates; a deployment gives its own.
-PII_KEY = "quarry"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: ``spark.quarry.pii.key`` of the session; the default is for tests."""
+    return spark.conf.get("spark.quarry.pii.key", "quarry")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +63,7 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.surrogates(docs, PII_KEY).select("doc_id", "text", "n_entities", F.to_json("kinds").alias("kinds"))
+    return pii.surrogates(docs, pii_key(spark)).select("doc_id", "text", "n_entities", F.to_json("kinds").alias("kinds"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

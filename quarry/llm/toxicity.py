@@ -10,7 +10,8 @@ the score.
 
 Learning: entries and their weights are log ratios of how often a word start
 occurs in toxic and in other texts, lowered by their uncertainty; a longer
-entry is kept only where it tells more than the shorter one.  They and the
+entry is kept only where it tells more than the shorter one.  Exception phrases are given, and
+those around a hit that several texts have and no toxic one are learned.  All these and the
 curve are fitted on at most ``SAMPLE`` labelled rows, the first in the order of
 a hash of their id.  Nothing but the text enters a score.
 
@@ -25,6 +26,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, materialize, quoted
+from quarry.llm.common import map_batches, materialize, quoted, without
 
 #: Labelled rows that a lexicon and its curve are fitted on, at most.
 SAMPLE = 12_000
 THRESHOLD = 0.7
-#: Letters of a stem, least and most.
+#: Letters of a stem, least and most; a longer word is an entry as a whole.
 STEM = (3, 16)
 LEAST_DOCS, LEAST_WEIGHT = 3, 1.5
+#: Texts, none of them toxic, that make a phrase around a hit an exception.
+LEAST_HARMLESS = 5
 
 # Letters of other scripts and what they look like.
 LOOK_ALIKES = {
@@ -56,6 +60,7 @@ _TABLE = {ord(k): v for k, v in LOOK_ALIKES.items()} | dict.fromkeys([0xAD, 0x20
 _ODD = re.compile(f"[{''.join(LOOK_ALIKES)}\xad​-‍⁠﻿̀-ͯ①-ⓩ！-～\U0001d400-\U0001d7ff]")
 _AMONG = re.compile(r"(?<=[^\W\d_])[0134578 9@$!|]{1,3}(?=[^\W\d_])".replace(" ", "") + r"|(?<![^\W_])[0134579@$]{1,2}(?=[^\W\d_][^\W_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_AFTER = re.compile(r" [^\W\d_]+")
 
 
 def fold(text: str | None) -> str:
@@ -89,10 +94,9 @@ class Lexicon:
             self.machine = machine
         return self.machine
 
-    def measure(self, text: str | None) -> tuple[float, int, int]:
-        """Weight of the hits, number of hits, number of words."""
-        folded = fold(text)
-        machine, hits, spans = self.automaton(), {}, []
+    def hits(self, folded: str) -> list[tuple[int, float]]:
+        """Places and weights of the entries that begin a word outside the exceptions, in order; linear but for sorting."""
+        machine, found, spans = self.automaton(), {}, []
         if len(machine):
             for end, (size, weight) in machine.iter(folded):
                 start = end - size + 1
@@ -102,9 +106,36 @@ class Lexicon:
                     if end + 1 == len(folded) or not folded[end + 1].isalpha():
                         spans.append((start, end))
                 else:
-                    hits[start] = weight  # a longer entry at this place comes later
-        found = [w for at, w in hits.items() if not any(a <= at <= b for a, b in spans)]
-        return sum(found), len(found), len(folded.split())
+                    found[start] = weight  # a longer entry at this place comes later
+        spans.sort()
+        out, k, reach = [], 0, -1  # reach: where the exceptions end that begin at or before a place
+        for at in sorted(found):
+            while k < len(spans) and spans[k][0] <= at:
+                reach = max(reach, spans[k][1])
+                k += 1
+            if at > reach:
+                out.append((at, found[at]))
+        return out
+
+    def measure(self, text: str | None) -> tuple[float, int, int]:
+        """Weight of the hits, number of hits, number of words."""
+        folded = fold(text)
+        found = self.hits(folded)
+        return sum(w for _, w in found), len(found), len(folded.split())
+
+    def phrases(self, text: str | None) -> set[str]:
+        """Words with a hit, each with the word before and with the word behind it."""
+        folded, out = fold(text), set()
+        for at, _ in self.hits(folded):
+            end = _LETTERS.match(folded, at).end()
+            if after := _AFTER.match(folded, end):
+                out.add(folded[at : after.end()])
+            if at > 1 and folded[at - 1] == " " and folded[at - 2].isalpha():
+                start = at - 1
+                while start and at - start < 40 and folded[start - 1].isalpha():
+                    start -= 1
+                out.add(folded[start:end])
+        return out
 
     @staticmethod
     def features(weight, hits, words) -> np.ndarray:
@@ -160,8 +191,8 @@ def sample(docs: DataFrame, labels: DataFrame, chosen: Column, *, text: str = "t
     return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("own_id")).select("text", "label")  # ``size`` rows
 
 
-def learn(rows: DataFrame) -> Lexicon:
-    """A lexicon and its curve from rows ``text, label``, a bounded sample."""
+def learn(rows: DataFrame, exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
+    """A lexicon, further exceptions and its curve from rows ``text, label``, a bounded sample."""
     spark, rows = rows.sparkSession, materialize(rows)
     least, most = STEM
 
@@ -170,12 +201,12 @@ def learn(rows: DataFrame) -> Lexicon:
             times, texts, words = defaultdict(lambda: [0, 0]), Counter(), [0, 0]
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, starts = Counter(_LETTERS.findall(fold(t))), Counter()
-                words[y] += sum(found.values())
+                words[y] += sum(round(1000 * math.log2(1 + n)) for n in found.values())
                 for w, n in found.items():
-                    for k in range(least, min(len(w), most) + 1):
+                    for k in {*range(least, min(len(w), most) + 1), *([len(w)] if len(w) > most else [])}:
                         starts[w[:k]] += n
                 for s, n in starts.items():
-                    times[s][y] += min(n, 20)  # one text alone makes no entry
+                    times[s][y] += round(1000 * math.log2(1 + n))  # repeats within a text tell less and less
                 if y:
                     texts.update(starts.keys())
             out = [(s, n[1], n[0], texts[s]) for s, n in times.items()] + [("", words[1], words[0], 0)]
@@ -189,9 +220,23 @@ def learn(rows: DataFrame) -> Lexicon:
         share = rows.agg(F.avg("label")).first()[0] or 0.0
         return Lexicon(curve=(math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0))
     # What isn't three times as frequent in toxic texts can't become an entry.
-    able = totals.where(f"entry <> '' and texts >= {LEAST_DOCS} and toxic * {words.other + 1} >= 3 * other * {words.toxic + 1}")
-    weights = choose({r.entry: (r.toxic, r.other, r.texts) for r in able.toLocalIterator()}, words.toxic, words.other)
-    lexicon = Lexicon(weights)
+    able = totals.where(f"entry <> '' and texts >= {LEAST_DOCS} and toxic * {words.other / 1000 + 1} >= 3 * other * {words.toxic / 1000 + 1}")
+    weights = choose({r.entry: (r.toxic / 1000, r.other / 1000, r.texts) for r in able.toLocalIterator()}, words.toxic / 1000, words.other / 1000)
+    lexicon = Lexicon(weights, exceptions=tuple(exceptions))
+    heard = spark.sparkContext.broadcast(lexicon)
+
+    def around():
+        own = heard.value
+
+        def one(batch: pa.RecordBatch) -> dict:
+            found = [(p, int(y > 0)) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in own.phrases(t)]
+            return {"phrase": [p for p, _ in found], "toxic": [y for _, y in found]}
+
+        return one
+
+    phrases = map_batches(rows, "phrase string, toxic bigint", around).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("texts"))
+    harmless = sorted(r.phrase for r in phrases.where(f"toxic = 0 and texts >= {LEAST_HARMLESS}").toLocalIterator())  # bounded by the sample
+    lexicon = Lexicon(weights, exceptions=tuple(dict.fromkeys([*exceptions, *harmless])))
     sent = spark.sparkContext.broadcast(lexicon)
 
     def measure():
@@ -204,19 +249,19 @@ def learn(rows: DataFrame) -> Lexicon:
     return lexicon
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 from ``THRESHOLD`` on)."""
+def scored(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with ``score`` and ``predicted`` (1 from ``THRESHOLD`` on); columns that bear these names, in any case, give way."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the sample
-    others = [c for c in docs.columns if c not in ("score", "predicted")]
+    others = without(docs.columns, score, predicted)
     place = others.index(text)
-    schema = ", ".join(f"{quoted([f.name])[0]} {f.dataType.simpleString()}" for f in docs.select(quoted(others)).schema) + ", score double, predicted int"
+    schema = ", ".join(f"{quoted([f.name])[0]} {f.dataType.simpleString()}" for f in docs.select(quoted(others)).schema) + f", {quoted([score])[0]} double, {quoted([predicted])[0]} int"
 
     def make():
         own = sent.value
 
         def one(batch: pa.RecordBatch) -> dict:
             found = [own.score(t.as_py()) for t in batch.column(place)]
-            return {n: batch.column(k) for k, n in enumerate(others)} | {"score": found, "predicted": [int(s >= THRESHOLD) for s in found]}
+            return {n: batch.column(k) for k, n in enumerate(others)} | {score: found, predicted: [int(s >= THRESHOLD) for s in found]}
 
         return one
 

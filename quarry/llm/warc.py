@@ -3,11 +3,11 @@
 Writing: each page gives a request, a response and a metadata record, the
 latter two bound by ``WARC-Concurrent-To``.  Of pages with equal payloads of at least
 ``least_bytes`` the one with the smallest id is the response; the others are revisit
-records that refer to it and carry no payload.  Spark's text writer, with the
-records' end mark as line separator, writes the archives; they go wherever
-Spark can write, and hold a bounded number of records each.
+records that refer to it and carry no payload.  Each record is a gzip member, and
+archives are bounded by bytes.  Spark's text writer passes them through; they go wherever
+Spark can write.
 
-Reading: a file's bytes are inflated and cut by ``Content-Length``, never by
+Reading: a file's members are inflated one by one and cut by ``Content-Length``, never by
 searching, so payloads may hold anything.  Assembly: the request and metadata
 records join the response or revisit that they are concurrent to, and the
 response that a revisit refers to; one nested row per capture comes out.  Keys
@@ -17,8 +17,8 @@ join has a plain exchange on both sides, which adaptive execution splits.
 Defined results: null html counts as an empty payload; a null or odd URL is
 percent-encoded where it would break a header; of rows that tie on the
 smallest id, one is the response; null ids come after all others; a capture
-whose request or metadata record is missing has null there.  The table of
-pages must give its rows in the same partitions when read twice, as files do.
+whose request or metadata record is missing has null there.  Rows are numbered once, in a written table, so that record
+ids hold whatever is computed anew.
 """
 
 from __future__ import annotations
@@ -31,7 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import join_hot, materialize
+
 END = "\r\n\r\n"
+#: Bytes that are inflated at once.
+FEED = 1 << 16
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, payload binary, payload_bytes bigint, payload_digest string, fields map<string,string>"
 
 
@@ -56,42 +60,97 @@ def _record(kind: str, own: Column, uri: Column, date: str, content_type: str, b
     return F.concat(*lines, F.lit(f"\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
+def _rows(pages: DataFrame, id: str, url: str, html: str) -> DataFrame:
+    """``row, id, uri, body, digest``, written, so that a row keeps its number whatever is computed anew."""
+    return materialize(
+        pages.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), _header_text(F.col(url)).alias("uri"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("body"))
+        .withColumn("digest", F.unhex(F.sha2("body", 256)))
+    )
+
+
 def records(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = 100) -> DataFrame:
     """``value``: three records per page, without the end mark."""
-    rows = pages.select(
-        F.col(id).alias("id"), _header_text(F.col(url)).alias("uri"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("body"), F.monotonically_increasing_id().alias("row")
-    ).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    large = F.octet_length("body") >= least_bytes
-    leads = rows.where(large).groupBy(F.col("digest").alias("of")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("lead"))
-    rows = rows.join(leads, (F.col("digest") == F.col("of")) & large, "left")
+    rows = _rows(pages, id, url, html)
+    # Narrow rows tell which captures revisit which; small payloads, which may be frequent, have no part in it.
+    large = rows.where(F.octet_length("body") >= least_bytes).select("row", "id", "digest")
+    leads = materialize(large.groupBy(F.col("digest").alias("of")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("of", "n", F.col("lead.row").alias("lead")))
+    again = join_hot(large, "digest", leads, "of", "n", rows.count()).where("row <> lead").select(F.col("row").alias("revisit"), "lead")
+    rows = rows.join(again, F.col("row") == F.col("revisit"), "left")
     row, body, uri = F.col("row"), F.col("body").cast("string"), F.col("uri")
     own = _uuid(F.lit("capture"), row)
     digest = [("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.lower(F.hex("digest"))))]
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit(END))
     response = _record("response", own, uri, date, "application/http;msgtype=response", F.concat(head, body), digest)
-    refers = [("WARC-Refers-To", _uuid(F.lit("capture"), F.col("lead.row"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))]
+    refers = [("WARC-Refers-To", _uuid(F.lit("capture"), F.col("lead"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))]
     revisit = _record("revisit", own, uri, date, "application/http;msgtype=response", head, digest + refers)
     bound = [("WARC-Concurrent-To", own)]
     request = _record("request", _uuid(F.lit("request"), row), uri, date, "application/http;msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1\r\nUser-Agent: quarry{END}")), bound)
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record("metadata", _uuid(F.lit("metadata"), row), uri, date, "application/warc-fields", fields, bound)
-    capture = F.when(F.col("lead").isNull() | (F.col("lead.row") == row), response).otherwise(revisit)
+    capture = F.when(F.col("lead").isNull(), response).otherwise(revisit)
     return rows.select(F.explode(F.array(request, capture, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, *, compression: str = "gzip", records_per_file: int = 6000, **options) -> None:
-    records(pages, **options).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+def archives(found: DataFrame, archive_bytes: int) -> DataFrame:
+    """``archive binary``: records, each a gzip member of its own, side by side up to ``archive_bytes`` and one record more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = packer.compress(value.as_py() + END.encode()) + packer.flush()
+                held.append(member)
+                size += len(member)
+                if size >= archive_bytes:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return found.select(F.col("value").cast("binary")).mapInArrow(run, "archive binary")
+
+
+#: A gzip member of nothing.  Spark's text writer ends each file by a line separator; this one readers pass over.
+_NOTHING = zlib.compressobj(6, zlib.DEFLATED, 31)
+_NOTHING = _NOTHING.compress(b"") + _NOTHING.flush()
+
+
+def write_archives(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, **options) -> None:
+    """One archive a file; Spark's text writer, which can write wherever Spark can, passes the bytes through as they are."""
+    rows = archives(records(pages, **options), archive_bytes).select(F.col("archive").cast("string").alias("value"))
+    rows.write.option("lineSep", _NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """The plain bytes of a file: member by member where it is gzip."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        out, fed = [], at
+        while not member.eof and fed < len(data):
+            out.append(member.decompress(view[fed : fed + FEED]))
+            fed = min(fed + FEED, len(data))
+        if not member.eof:
+            raise ValueError(f"the member at byte {at} is cut short")
+        at = fed - len(member.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes) -> Iterator[dict]:
     """The records of one archive."""
-    if data[:2] == b"\x1f\x8b":  # one or more members
-        plain = []
-        while data:
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(plain)
+    for plain in _members(data):
+        yield from _parse(plain)
+
+
+def _parse(data: bytes) -> Iterator[dict]:
     at = 0
     while at < len(data):
         if data.startswith(b"\r\n", at):

@@ -151,3 +151,35 @@ def test_names_of_any_length(spark):
     assert m and m[1] == m[2] and re.fullmatch(rf"so \w+ \w+ {m[1]} went", got[1].text) and re.fullmatch(rf"\w+ [A-Z][a-z]+ {m[1]}\.", got[2].text)
     assert re.fullmatch(rf"by [A-Z]+ {m[1].upper()}, MR\. {m[1].upper()}", got[3].text) and re.fullmatch(r"Prof\. Dr\. \w+ \w+ \w+ \w+", got[4].text)
     assert [r.text for r in replaced(spark, ["MARY", "John Q.", "Dr. No one"[:3]])] == ["MARY", "John Q.", "Dr."]
+
+
+def test_addresses_of_any_length(spark):
+    labels = "a." * 30_000
+    texts = [f"to x@{labels}com, y@{labels}com.", "n" * 5000 + "@q.org", "u@a.com.5 v", "w@" + "b." * 40 + "7", " ".join(f"m{k}@x{k % 7}.org" for k in range(5000))]
+    got = replaced(spark, texts)
+    assert [r.n_entities for r in got] == [2, 1, 1, 0, 5000] and got[3].text == texts[3] and got[2].text.endswith(".example.5 v")
+    assert "com" not in got[0].text and got[0].text.count("@") == 2 and "q.org" not in got[1].text
+    hosts = re.findall(r"@(\S+)", got[4].text)
+    assert len(set(hosts)) == 7 and [hosts.index(h) for h in hosts] == [k % 7 for k in range(5000)]
+    assert len(set(got[4].text.split())) == 5000
+
+
+def test_short_domains_stay_apart(spark):
+    import string
+
+    texts = [f"me@{c}.org" for c in string.ascii_lowercase] + [f"me@{c}.com" for c in string.ascii_lowercase]
+    found = [r.text for r in replaced(spark, texts)]
+    assert len({t.partition("@")[2] for t in found}) == len(texts) and len({t.partition("@")[0] for t in found}) > 1
+
+
+def test_against_another_regex_engine(spark):
+    """What lies between the matches of the patterns stays, each match is replaced, and like matches are replaced alike."""
+    import regex
+
+    any_ = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()).replace("\\z", "\\Z").replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    texts = [r[1] for r in ROWS if r[1]] + [f"a{k}@b.org; {k}.{k}.{k}.{k} Frau Meier{k} token=k{k}k9 +1 415 555 01{k:02d}" for k in range(12)]
+    for r, t in zip(replaced(spark, texts), texts, strict=True):
+        spans = [m.span() for m in any_.finditer(t) if luhn(m[0]) or not re.fullmatch(r"[0-9][0-9 -]{12,}", m[0])]
+        between = [t[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)], strict=True)]
+        assert re.fullmatch("(.+?)".join(map(re.escape, between)), r.text, re.S), (t[:200], r.text[:200])
+        assert not [t[a:b] for a, b in spans if t[a:b] in r.text]

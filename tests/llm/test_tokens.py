@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from quarry.llm import bpe, packing
 
-TEXTS = [None, "", " ", "  a  b \n\n c", "a \n b", "don't you'll I'm", "\xa0 x   y", "a\x1c b \x85 c", "日本語 テキスト ①②", "x" * 3000, "tail  ", "<|endoftext|> a", "naïve Ωmega 12 345", "ab " * 4000]
+TEXTS = [None, "", " ", "  a  b \n\n c", "a \n b", "don't you'll I'm", "\xa0 x   y", "a\x1c b \x85 c", "日本語 テキスト ①②", "x" * 3000, "tail  ", "<|endoftext|> a", "x <|endoftext|>  y<|endoftext|><|endoftext|>\n", "<|endoftext", "naïve Ωmega 12 345", "ab " * 4000]
 
 
 @pytest.fixture(scope="module")
@@ -58,11 +58,11 @@ def test_frames(spark, multi):
 def test_tokenizer_matches_the_library():
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     own = packing.Tokenizer(open(path, encoding="utf-8").read())
     assert own.fast
     for t in TEXTS:
         assert np.frombuffer(own.encode_bytes(t), np.uint32).tolist() == library.encode(t or "", add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(own.encode_bytes("a<|endoftext|>b"), np.uint32).tolist()
     other = packing.Tokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
     assert other.fast is None and other.encode_bytes("plain words")
 
@@ -89,7 +89,6 @@ def test_pack_covers_every_document(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as offset", "2 as length").repartition(5)
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     got = packing.pack(docs, path, capacity=64, with_ids=True).collect()
     fill = defaultdict(list)
     for r in got:

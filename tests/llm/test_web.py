@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 from quarry.llm import warc
@@ -11,9 +12,13 @@ ROWS = [(3, "http://a/1", BIG), (1, "http://a/1 b\r\nX: y", BIG), (2, None, None
 def test_round_trip(spark):
     pages = spark.createDataFrame(ROWS, "page_id bigint, url string, html string").selectExpr("*", "'x' as type", "1 as digest").repartition(3).cache()
     path = scratch_path(spark, "warc")
-    warc.write_archives(pages, path, records_per_file=7)
+    warc.write_archives(pages, path, archive_bytes=300)
     whole = warc.transactions(warc.read_archives(spark, path))
     got = warc.capture_digests(whole).collect()
+    files = spark.read.format("binaryFile").load(path).collect()
+    members = [list(warc._members(bytes(f.content))) for f in files]
+    assert len(files) > 5 and all(m[-1] == b"" for m in members)  # what ends a file is a member of nothing
+    assert all(len(list(warc._parse(m))) == 1 for own in members for m in own[:-1]) and sum(len(m) - 1 for m in members) == 3 * len(ROWS)
     assert len(got) == len(ROWS)
     for r in got:
         texts = [t or "" for i, _, t in ROWS if i == r.page_id]
@@ -32,6 +37,17 @@ def test_round_trip(spark):
     pages.unpersist()
 
 
+def test_archives_that_others_wrote():
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for data in (one * 3, gzip.compress(one * 3), gzip.compress(one) * 3, gzip.compress(one * 2) + gzip.compress(b"") + gzip.compress(one)):
+        assert [r["payload"] for r in warc.parse(data)] == [b"abc"] * 3
+    try:
+        list(warc.parse(gzip.compress(one)[:-12]))
+    except ValueError:
+        return
+    raise AssertionError
+
+
 def test_missing_partners_and_bad_archives(spark):
     lone = spark.createDataFrame([("<a>", "response", None, None, "u", "d", bytearray(b"x"), 1, "d", None), ("<b>", "metadata", "<gone>", None, "u", "d", None, None, None, {"k": "v"})], warc.RECORD)
     row = warc.transactions(lone).first()
