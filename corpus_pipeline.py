@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, packing, pii, simhash, toxicity
-from quarry.llm.common import materialize, quoted, table
-from quarry.llm.queries import PII_KEY
+from quarry.llm.common import materialize, quoted, table, unused
+from quarry.llm.queries import pii_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity score rejects go; labels of one part in three are left out of learning, as in the operator's query."""
     learned_from = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     lexicon = toxicity.learn(toxicity.sample(docs, table(spark, sf_dir, "labels"), learned_from))
-    return toxicity.scored(docs, lexicon).where("predicted = 0").select(quoted(docs.columns))
+    score, predicted = unused("score", "predicted")
+    return toxicity.scored(docs, lexicon, score=score, predicted=predicted).where(F.col(predicted) == 0).select(quoted(docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates; ``n_chars`` follows the text."""
-    done = pii.surrogates(docs, PII_KEY)
+    count, kinds = unused("count", "kinds")
+    done = pii.surrogates(docs, pii_key(spark), count=count, kinds=kinds)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        done = done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(count) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return done.select(quoted(docs.columns))
 
 
