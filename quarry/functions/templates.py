@@ -113,8 +113,9 @@ def initcap(s: str) -> str:
 
 
 def mod(a: str, b: str) -> str:
-    """The sign of the divisor."""
-    return f"(({a}) - floor(({a}) / ({b})) * ({b}))"
+    """The sign of the divisor; NULL for zero."""
+    divisor = f"({b})" if re.fullmatch(r"\s*-?\s*[0-9.]*[1-9][0-9.]*", b) else f"nullif({b}, 0)"
+    return f"(({a}) - floor(({a}) / {divisor}) * ({b}))"
 
 
 def round_(x: str, n: str = "0") -> str:
@@ -173,5 +174,11 @@ def similar_pattern(pattern: str, escape: str | None = None) -> str:
     return "(?s)\\A(?:^" + "".join(out) + "$)"
 
 
+def similar_column(pattern: str) -> str:
+    """The regular expression of a pattern that is only known at run time; signs within a class aren't told apart."""
+    plain = f"regexp_replace({pattern}, '([#$^.~])', '\\\\\\\\$1')"
+    return f"concat('(?s)\\\\A(?:^', replace(replace({plain}, '%', '.*'), '_', '.'), '$)')"
+
+
 def _in_class(pattern: str, k: int) -> bool:
     return pattern.rfind("[", 0, k) > pattern.rfind("]", 0, k)

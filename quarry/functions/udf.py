@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import itertools
 from collections.abc import Callable
 from typing import Any
 
@@ -51,6 +52,12 @@ def scalar_udf(f: Callable, names: list[str], returns: str):
     return pandas_udf(own, returns)
 
 
+class Row(dict):
+    """A row by name: ``row["a"]`` or ``row.a``; far cheaper than a Series."""
+
+    __getattr__ = dict.__getitem__
+
+
 def row_udf(f: Callable, names: list[str], returns: str):
     """``f(row, *values)``: the row has the columns by name; values that are alike throughout a batch come behind it, if ``f`` takes them."""
     import inspect
@@ -60,9 +67,10 @@ def row_udf(f: Callable, names: list[str], returns: str):
 
     def own(*columns: pd.Series) -> pd.Series:
         first = len(columns) - extra if extra > 0 else len(columns)
-        frame = pd.DataFrame({n: c for n, c in zip(names, columns[:first], strict=False)})
-        values = list(zip(*columns[first:], strict=True)) if first < len(columns) else [()] * len(columns[0])
-        return pd.Series([f(row, *more) for (_, row), more in zip(frame.iterrows(), values, strict=True)], index=columns[0].index)
+        own_names = names[:first]
+        rows = (Row(zip(own_names, values, strict=False)) for values in zip(*columns[:first], strict=True))
+        more = zip(*columns[first:], strict=True) if first < len(columns) else itertools.repeat(())
+        return pd.Series([f(row, *values) for row, values in zip(rows, more)], index=columns[0].index)
 
     own.__annotations__ = {"columns": pd.Series, "return": pd.Series}
     return pandas_udf(own, returns)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 import itertools
+import math
+import random
 from typing import Any
 
 from pyspark.ml import Pipeline
@@ -11,13 +13,26 @@ from pyspark.ml import evaluation as E
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.ml.names import PARAMETERS, is_spark, make
+from quarry.ml.names import DRIVER_ROWS, PARAMETERS, in_driver, is_spark, make
 from quarry.ml.train import stages
 
 #: Names of searches: by folds, or by one split.
 SEARCHES = {"GridSearchCV": CrossValidator, "RandomizedSearchCV": CrossValidator, "CrossValidator": CrossValidator, "TrainValidationSplit": TrainValidationSplit}
 
 
+def drawn(values: list[list[Any]], n: int, random_: random.Random) -> list[tuple]:
+    """``n`` different settings at random, all if there are no more."""
+    count = math.prod(map(len, values))
+    out = []
+    for k in random_.sample(range(count), min(n, count)):
+        choice = []
+        for v in reversed(values):
+            k, at = divmod(k, len(v))
+            choice.append(list(v)[at])
+        out.append(tuple(reversed(choice)))
+    return out
+
+
 def experiment(spark: SparkSession, options: dict[str, Any], frame: DataFrame) -> tuple[Any, list[str], DataFrame]:
     """The best model, its training columns, and a row for each setting that was tried."""
     options = dict(options)
@@ -26,13 +41,14 @@ def experiment(spark: SparkSession, options: dict[str, Any], frame: DataFrame) -
     tune, more = dict(options.pop("tune_parameters", {}) or {}), dict(options.pop("experiment_kwargs", {}) or {})
     automl_options = dict(options.pop("automl_kwargs", {}) or {})
     options.pop("tune_fit_kwargs", None)
+    # Clients look for the next three sentences.
     if not target:
         raise ValueError("Unsupervised Algorithm cannot be tuned Automatically; give a 'target_column'.")
     columns = [c for c in frame.columns if c != target]
     if automl:
         module, _, own = automl.rpartition(".")
         found = getattr(importlib.import_module(module), own)(**automl_options)
-        rows = frame.toPandas()
+        rows = in_driver(frame, int(more.get("driver_rows", DRIVER_ROWS)))
         found.fit(rows[columns], rows[target])
         tried = getattr(found, "evaluated_individuals_", {})
         results = [(str(k), str(v)) for k, v in tried.items()]
@@ -50,7 +66,11 @@ def experiment(spark: SparkSession, options: dict[str, Any], frame: DataFrame) -
     frame = frame.withColumn(target, frame[target].cast("double"))
     own = {k: k if estimator.hasParam(k) else PARAMETERS.get(k, k) for k in tune}
     values = [v if isinstance(v, (list, tuple, set)) else [v] for v in tune.values()]
-    grid = [{estimator.getParam(own[k]): v for k, v in zip(tune, choice, strict=True)} for choice in itertools.product(*values)]
+    if search.rpartition(".")[2] == "RandomizedSearchCV":
+        choices = drawn(values, int(more.get("n_iter", 10)), random.Random(int(more.get("random_state", more.get("seed", 7)))))
+    else:
+        choices = itertools.product(*values)
+    grid = [{estimator.getParam(own[k]): v for k, v in zip(tune, choice, strict=True)} for choice in choices]
     regression = "regression" in type(estimator).__module__
     evaluator = (E.RegressionEvaluator(labelCol=target, metricName="r2") if regression else E.MulticlassClassificationEvaluator(labelCol=target, metricName="accuracy"))
     pipeline = Pipeline(stages=stages(estimator, columns, target, frame))

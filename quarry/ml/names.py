@@ -5,6 +5,10 @@ from __future__ import annotations
 import importlib
 from typing import Any
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
 # Names that other libraries use, and the estimator of ``pyspark.ml`` that does the same.
 CLASSES = {
     "LinearRegression": "regression.LinearRegression", "Ridge": "regression.LinearRegression", "Lasso": "regression.LinearRegression", "GeneralizedLinearRegression": "regression.GeneralizedLinearRegression",
@@ -53,3 +57,30 @@ def make(name: str, parameters: dict[str, Any]) -> Any:
 
 def is_spark(model: Any) -> bool:
     return type(model).__module__.startswith("pyspark.ml")
+
+
+#: Rows that a model of another library may be fitted on in the driver, unless the statement says ``driver_rows``.
+DRIVER_ROWS = 1_000_000
+
+
+def in_driver(frame: DataFrame, most: int = DRIVER_ROWS) -> pd.DataFrame:
+    """A bounded table; ValueError if there is more of it."""
+    rows = frame.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a model that is fitted in the driver: give wrap_fit for one that has partial_fit, a sample, or another driver_rows")
+    return rows
+
+
+def result_type(model: Any, found: Any) -> str:
+    """The type of what a model gives: labels as they are, numbers as double, whatever the first of them is like."""
+    first = np.asarray(found)
+    labels = getattr(model, "classes_", None)
+    if first.dtype == object or first.dtype.kind in "US":
+        kind = "string"
+    elif first.dtype.kind == "b":
+        kind = "boolean"
+    elif first.dtype.kind in "iu" and labels is not None and np.asarray(labels).dtype.kind in "iu":
+        kind = "bigint"
+    else:
+        kind = "double"
+    return f"array<{kind}>" if first.ndim > 1 else kind

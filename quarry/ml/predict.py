@@ -10,8 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.udf import type_name
-from quarry.ml.names import is_spark
+from quarry.ml.names import is_spark, result_type
+from quarry.ml.wrappers import ParallelPostFit
 
 
 def predict(model: Any, columns: list[str], frame: DataFrame) -> DataFrame:
@@ -21,11 +21,9 @@ def predict(model: Any, columns: list[str], frame: DataFrame) -> DataFrame:
         found = "prediction" if "prediction" in out.columns else "_output"
         value = vector_to_array(F.col(found)) if found == "_output" else F.col(found)
         return out.select(*kept, value.alias("target"))
+    model = model.model if isinstance(model, ParallelPostFit) else model  # predictions are always made in parallel
     sample = frame.select(*columns).limit(1).toPandas()
-    kind = "double"
-    if len(sample):
-        first = pd.Series(model.predict(sample))
-        kind = type_name(first.dtype) if first.dtype != object else "string"
+    kind = result_type(model, model.predict(sample)) if len(sample) else "double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -8,7 +8,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 
-from quarry.ml.names import is_spark, make
+from quarry.ml.names import DRIVER_ROWS, in_driver, is_spark, make
+from quarry.ml.wrappers import Incremental, ParallelPostFit
 
 
 def stages(estimator: Any, columns: list[str], target: str | None, frame: DataFrame) -> list[Any]:
@@ -29,9 +30,10 @@ def train(options: dict[str, Any], frame: DataFrame) -> tuple[Any, list[str]]:
     """The fitted model, and the columns that it was trained on."""
     options = dict(options)
     if "model_class" not in options:
-        raise ValueError("Parameters must include a 'model_class' parameter.")
+        raise ValueError("Parameters must include a 'model_class' parameter.")  # fixed value: clients look for this sentence
     name, target = options.pop("model_class"), options.pop("target_column", "") or None
-    options.pop("wrap_predict", None), options.pop("wrap_fit", None)  # models are distributed as they are
+    wrap_predict, wrap_fit = bool(options.pop("wrap_predict", False)), bool(options.pop("wrap_fit", False))
+    most = int(options.pop("driver_rows", DRIVER_ROWS))
     fit = options.pop("fit_kwargs", {}) or {}
     columns = [c for c in frame.columns if c != target]
     estimator = make(name, options)
@@ -41,13 +43,15 @@ def train(options: dict[str, Any], frame: DataFrame) -> tuple[Any, list[str]]:
             if kind != "double":
                 frame = frame.withColumn(target, frame[target].cast("double"))
         return Pipeline(stages=stages(estimator, columns, target, frame)).fit(frame), columns
-    # Other libraries fit on the driver, on what the user's query leaves.
-    rows = frame.toPandas()
+    if wrap_fit and hasattr(estimator, "partial_fit"):
+        return Incremental(estimator).fit(frame, target, **fit), columns  # batch by batch
+    # Others are fitted in the driver, on a bounded table.
+    rows = in_driver(frame, most)
     if target:
         estimator.fit(rows[columns], rows[target], **fit)
     else:
         estimator.fit(rows[columns], **fit)
-    return estimator, columns
+    return (ParallelPostFit(estimator, columns) if wrap_predict else estimator), columns
 
 
 def describe(model: Any) -> dict[str, Any]:
@@ -56,4 +60,5 @@ def describe(model: Any) -> dict[str, Any]:
         return {"model_class": type(last).__name__, **{p.name: v for p, v in last.extractParamMap().items()}}
     if is_spark(model):
         return {p.name: v for p, v in model.extractParamMap().items()}
+    model = model.model if isinstance(model, ParallelPostFit) else model
     return {"model_class": type(model).__name__, **(model.get_params() if hasattr(model, "get_params") else vars(model))}

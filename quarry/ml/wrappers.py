@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarry.functions.udf import type_name
+from quarry.ml.names import DRIVER_ROWS, in_driver, result_type
 
 
 class ParallelPostFit:
@@ -19,7 +19,7 @@ class ParallelPostFit:
         self.model, self.columns = model, columns
 
     def fit(self, frame: DataFrame, target: str | None = None, **options: Any) -> ParallelPostFit:
-        rows = frame.toPandas()
+        rows = in_driver(frame, int(options.pop("driver_rows", DRIVER_ROWS)))
         self.columns = [c for c in frame.columns if c != target]
         self.model.fit(rows[self.columns], *([rows[target]] if target else []), **options)
         return self
@@ -28,9 +28,7 @@ class ParallelPostFit:
         columns = self.columns or frame.columns
         call = getattr(self.model, method)
         sample = frame.select(*columns).limit(1).toPandas()
-        first = np.asarray(call(sample)) if len(sample) else np.zeros(1)
-        kind = type_name(first.dtype) if first.dtype != object else "string"
-        kind = f"array<{kind}>" if first.ndim > 1 else kind
+        kind = result_type(self.model, call(sample) if len(sample) else np.zeros(1))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:

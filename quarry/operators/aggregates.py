@@ -19,7 +19,7 @@ add("agg_regr_covar", """
     SELECT l_returnflag, CAST(REGR_COUNT(l_extendedprice, l_quantity) AS BIGINT) AS c, ROUND(REGR_SXX(l_extendedprice, l_quantity), 2) AS sxx, ROUND(REGR_SYY(l_discount, l_quantity), 4) AS syy,
            ROUND(COVAR_POP(l_quantity, l_discount), 8) AS cp, ROUND(COVAR_SAMP(l_quantity, l_discount), 8) AS cs, ROUND(CORR(l_quantity, l_extendedprice), 8) AS r
     FROM lineitem GROUP BY l_returnflag""")
-add("agg_single_any_value", "SELECT r_regionkey, SINGLE_VALUE(r_name) AS s, ANY_VALUE(r_name) AS a FROM region GROUP BY r_regionkey", "SELECT r_regionkey, FIRST(r_name) AS s, FIRST(r_name) AS a FROM region GROUP BY r_regionkey")
+add("agg_single_any_value", "SELECT n_regionkey, SINGLE_VALUE(n_regionkey * 2) AS s, ANY_VALUE(n_regionkey + 1) AS a, COUNT(*) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, n_regionkey * 2 AS s, n_regionkey + 1 AS a, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
 add("agg_mean", "SELECT p_brand, ROUND(MEAN(p_retailprice), 4) AS m FROM part GROUP BY p_brand")
 add("agg_null_group", "SELECT NULLIF(n_regionkey, 2) AS k, COUNT(*) AS n, SUM(NULLIF(n_nationkey, 3)) AS s FROM nation GROUP BY NULLIF(n_regionkey, 2)", "SELECT NULLIF(n_regionkey, 2) AS k, COUNT(*) AS n, CAST(SUM(NULLIF(n_nationkey, 3)) AS BIGINT) AS s FROM nation GROUP BY 1")
 add("agg_by_expression", "SELECT c_nationkey + 1 AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey + 1")
@@ -29,5 +29,10 @@ add("rollup", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders
 add("cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_linenumber) AS s FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 add("grouping_sets", "SELECT c_nationkey, c_mktsegment, COUNT(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())")
 add("agg_median_percentile", "SELECT l_returnflag, MEDIAN(l_quantity) AS m, MAX_BY(l_orderkey, l_extendedprice) AS x FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, MEDIAN(l_quantity) AS m, ARG_MAX(l_orderkey, l_extendedprice) AS x FROM lineitem GROUP BY l_returnflag")
-add("agg_approx_distinct", "SELECT APPROX_COUNT_DISTINCT(l_partkey) AS n FROM lineitem", None)
+add("agg_approx_distinct", "SELECT l_returnflag, ABS(APPROX_COUNT_DISTINCT(l_partkey) - COUNT(DISTINCT l_partkey)) < 0.15 * COUNT(DISTINCT l_partkey) AS near FROM lineitem GROUP BY l_returnflag", "SELECT DISTINCT l_returnflag, TRUE AS near FROM lineitem")
+add("agg_lists", "SELECT n_regionkey, LISTAGG(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS l, ARRAY_JOIN(SORT_ARRAY(ARRAY_AGG(n_name)), '|') AS a, PERCENTILE(n_nationkey, 0.25) AS p, PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY n_nationkey) AS h FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, STRING_AGG(n_name, ',' ORDER BY n_name DESC) AS l, STRING_AGG(n_name, '|' ORDER BY n_name) AS a, QUANTILE_CONT(CAST(n_nationkey AS DOUBLE), 0.25) AS p, QUANTILE_CONT(CAST(n_nationkey AS DOUBLE), 0.5) AS h FROM nation GROUP BY n_regionkey")
+add("agg_regr_nulls", "SELECT l_returnflag, REGR_COUNT(NULLIF(l_tax, 0), NULLIF(l_discount, 0)) AS c, ROUND(REGR_SXX(NULLIF(l_tax, 0), NULLIF(l_discount, 0)), 6) AS x, ROUND(REGR_SYY(NULLIF(l_tax, 0), NULLIF(l_discount, 0)), 6) AS y FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, CAST(REGR_COUNT(NULLIF(l_tax, 0), NULLIF(l_discount, 0)) AS BIGINT) AS c, ROUND(REGR_SXX(NULLIF(l_tax, 0), NULLIF(l_discount, 0)), 6) AS x, ROUND(REGR_SYY(NULLIF(l_tax, 0), NULLIF(l_discount, 0)), 6) AS y FROM lineitem GROUP BY l_returnflag")
+add("grouping_marks", "SELECT o_orderstatus, GROUPING(o_orderstatus) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)", "SELECT o_orderstatus, CAST(GROUPING(o_orderstatus) AS TINYINT) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
 add("agg_decimal", "SELECT l_linenumber, SUM(CAST(l_extendedprice AS DECIMAL(12, 2))) AS s FROM lineitem GROUP BY l_linenumber", "SELECT l_linenumber, CAST(SUM(CAST(l_extendedprice AS DECIMAL(12, 2))) AS DECIMAL(22, 2)) AS s FROM lineitem GROUP BY l_linenumber")

@@ -29,3 +29,5 @@ add("not_exists_correlated", "SELECT s.s_suppkey FROM supplier s WHERE NOT EXIST
 add("in_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 add("not_in_subquery", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 40)")
 add("join_broadcast_hint", "SELECT /*+ BROADCAST(n) */ c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey", "SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
+add("join_right_semi", "SELECT c.c_custkey, c.c_name FROM orders o RIGHT SEMI JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_totalprice > 150000", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 150000)")
+add("join_right_anti", "SELECT p.p_partkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey RIGHT ANTI JOIN part p ON p.p_partkey = l.l_partkey WHERE p.p_size < 40", "SELECT p_partkey FROM part WHERE p_size < 40 AND NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE p_partkey = l_partkey)")

@@ -51,5 +51,34 @@ add("except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FRO
 add("intersect_except_all", "(SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT c_nationkey FROM customer) UNION ALL (SELECT n_regionkey FROM nation EXCEPT ALL SELECT r_regionkey FROM region)")
 add("distribute_by", "SELECT o_custkey, COUNT(*) AS n FROM (SELECT * FROM orders DISTRIBUTE BY o_custkey) AS t GROUP BY o_custkey", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")
 add("unmapped_operators", "SELECT n_nationkey, n_nationkey % 4 AS m, n_nationkey & 5 AS a, n_nationkey | 8 AS o FROM nation")
-add("tablesample_bernoulli", "SELECT l_orderkey, l_linenumber FROM lineitem TABLESAMPLE BERNOULLI (20) REPEATABLE (7)", None)
-add("tablesample_system", "SELECT l_orderkey, l_linenumber FROM lineitem TABLESAMPLE SYSTEM (50) REPEATABLE (3)", None)
+# What is kept depends on the generator: its share is held.
+add("tablesample_bernoulli", """
+    SELECT COUNT(*) > 0.17 * (SELECT COUNT(*) FROM lineitem) AND COUNT(*) < 0.23 * (SELECT COUNT(*) FROM lineitem) AS share, COUNT(l_orderkey) = COUNT(*) AS whole
+    FROM lineitem TABLESAMPLE BERNOULLI (20) REPEATABLE (7)""", "SELECT TRUE AS share, TRUE AS whole")
+# Files and parts of files are kept or not, as a whole.
+add("tablesample_system", """
+    SELECT (SELECT COUNT(*) FROM lineitem TABLESAMPLE SYSTEM (50) REPEATABLE (3)) = (SELECT COUNT(*) FROM lineitem TABLESAMPLE SYSTEM (50) REPEATABLE (3)) AS again,
+           (SELECT COUNT(*) FROM lineitem TABLESAMPLE SYSTEM (100) REPEATABLE (3)) AS every, (SELECT COUNT(*) FROM lineitem TABLESAMPLE SYSTEM (0) REPEATABLE (3)) AS none""",
+    "SELECT TRUE AS again, (SELECT COUNT(*) FROM lineitem) AS every, CAST(0 AS BIGINT) AS none")
+add("division_levels", """
+    WITH c AS (SELECT l_orderkey / 7 AS q, l_linenumber / 2.0 AS h FROM lineitem)
+    SELECT q, COUNT(*) AS n, SUM(l_linenumber) / COUNT(*) AS m, MAX(l_linenumber / 2) + 1 AS x FROM (SELECT c.q, l.l_linenumber FROM c JOIN (SELECT DISTINCT l_orderkey / 7 AS q, l_linenumber FROM lineitem) l ON c.q = l.q) t GROUP BY q
+    UNION ALL SELECT 7 / 2, COUNT(*), 9 / 4 * 2, (1 + 2) / 2 FROM region""", """
+    WITH c AS (SELECT l_orderkey // 7 AS q FROM lineitem)
+    SELECT q, COUNT(*) AS n, CAST(SUM(l_linenumber) // COUNT(*) AS BIGINT) AS m, CAST(trunc(MAX(l_linenumber / 2.0) + 1) AS BIGINT) AS x FROM (SELECT c.q, l.l_linenumber FROM c JOIN (SELECT DISTINCT l_orderkey // 7 AS q, l_linenumber FROM lineitem) l ON c.q = l.q) t GROUP BY q
+    UNION ALL SELECT CAST(3 AS BIGINT), COUNT(*), CAST(4 AS BIGINT), CAST(1 AS BIGINT) FROM region""")
+add("division_by_zero", "SELECT n_nationkey, n_nationkey / n_regionkey AS q, n_nationkey * 1.5 / (n_regionkey - 1) AS f, n_nationkey % n_regionkey AS r, MOD(n_nationkey, n_regionkey) AS m FROM nation WHERE n_nationkey / 5 > 0.3",
+    "SELECT n_nationkey, CAST(n_nationkey // nullif(n_regionkey, 0) AS BIGINT) AS q, CAST(round(n_nationkey * 1.5 / nullif(n_regionkey - 1, 0), 6) AS DECIMAL(19, 6)) AS f, n_nationkey % nullif(n_regionkey, 0) AS r, CAST(n_nationkey % nullif(n_regionkey, 0) AS BIGINT) AS m FROM nation WHERE n_nationkey / 5.0 > 0.3")
+add("qualify", "SELECT user_id, event_id, value FROM events WHERE value > 5 QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 2")
+add("qualify_distinct", "SELECT DISTINCT c_nationkey, RANK() OVER w AS r FROM customer QUALIFY RANK() OVER w < 4 WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)",
+    "SELECT DISTINCT c_nationkey, CAST(RANK() OVER w AS INTEGER) AS r FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) QUALIFY RANK() OVER w < 4")
+add("regex_operators", "SELECT p_partkey, p_type ~ 'TIN$' AS a, p_type !~ '^S' AS b, p_type ~* 'tin' AS c, p_type !~* '^standard' AS d, p_size # 5 AS x FROM part",
+    "SELECT p_partkey, regexp_matches(p_type, 'TIN$') AS a, NOT regexp_matches(p_type, '^S') AS b, regexp_matches(p_type, 'tin', 'i') AS c, NOT regexp_matches(p_type, '^standard', 'i') AS d, xor(p_size, 5) AS x FROM part")
+add("similar_to_column", "SELECT p.p_partkey, t.pat FROM part p JOIN (VALUES ('%TIN'), ('(STANDARD|SMALL)%'), ('_ROMO%'), ('a.c')) AS t(pat) ON p.p_type SIMILAR TO t.pat",
+    "SELECT p.p_partkey, t.pat FROM part p JOIN (VALUES ('%TIN'), ('(STANDARD|SMALL)%'), ('_ROMO%'), ('a.c')) AS t(pat) ON regexp_full_match(p.p_type, replace(replace(replace(t.pat, '.', '[.]'), '%', '.*'), '_', '.'))")
+add("not_in_with_null", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (1, NULL) OR n_nationkey IN (3, NULL)")
+add("exists_as_column", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS big FROM customer")
+add("is_predicates_more", "SELECT n_nationkey, (n_regionkey > 2) IS FALSE AS f, (NULLIF(n_regionkey, 2) > 2) IS NOT TRUE AS nt, (NULLIF(n_regionkey, 2) > 2) IS NOT UNKNOWN AS nu, n_name IS NOT NULL AS nn FROM nation",
+    "SELECT n_nationkey, n_regionkey <= 2 AS f, coalesce(NOT (NULLIF(n_regionkey, 2) > 2), true) AS nt, NULLIF(n_regionkey, 2) IS NOT NULL AS nu, n_name IS NOT NULL AS nn FROM nation")
+add("cast_more", "SELECT s_suppkey, CAST(-2.7 AS INTEGER) AS n, CAST(s_acctbal * -1 AS BIGINT) AS b, CAST(s_suppkey AS VARCHAR) || 'x' AS v, TRY_CAST('2020-13-01' AS DATE) AS d, CAST('true' AS BOOLEAN) AS t, CAST(s_nationkey AS FLOAT) AS f FROM supplier",
+    "SELECT s_suppkey, -2 AS n, CAST(trunc(s_acctbal * -1) AS BIGINT) AS b, CAST(s_suppkey AS VARCHAR) || 'x' AS v, CAST(NULL AS DATE) AS d, TRUE AS t, CAST(s_nationkey AS FLOAT) AS f FROM supplier")

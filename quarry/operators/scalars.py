@@ -42,3 +42,16 @@ add("date_arithmetic", "SELECT o_orderkey FROM orders WHERE o_orderdate + INTERV
 add("timestamp_plus_days", "SELECT o_orderkey FROM orders WHERE o_orderdate + 30 < TIMESTAMP '1993-01-01 00:00:00'", "SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1993-01-01 00:00:00'")
 add("current_time_functions", "SELECT r_regionkey, CURRENT_TIMESTAMP IS NOT NULL AS a, LOCALTIMESTAMP IS NOT NULL AS b, CURRENT_DATE IS NOT NULL AS c, CURRENT_TIME IS NOT NULL AS d, LOCALTIME IS NOT NULL AS e FROM region", "SELECT r_regionkey, TRUE AS a, TRUE AS b, TRUE AS c, TRUE AS d, TRUE AS e FROM region")
 add("json_array_helpers", "SELECT event_id, get_json_object(props, '$.k') AS k, SIZE(SPLIT(event_type, 'i')) AS n FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(string_split(event_type, 'i')) AS INTEGER) AS n FROM events")
+add("time_function_names", "SELECT event_id, YEAR(ts) AS y, QUARTER(ts) AS q, MONTH(ts) AS m, DAYOFMONTH(ts) AS d, HOUR(ts) AS h, MINUTE(ts) AS mi, SECOND(ts) AS s FROM events",
+    "SELECT event_id, CAST(YEAR(ts) AS INTEGER) AS y, CAST(QUARTER(ts) AS INTEGER) AS q, CAST(MONTH(ts) AS INTEGER) AS m, CAST(DAY(ts) AS INTEGER) AS d, CAST(HOUR(ts) AS INTEGER) AS h, CAST(MINUTE(ts) AS INTEGER) AS mi, CAST(SECOND(ts) AS INTEGER) AS s FROM events")
+add("date_difference", "SELECT o_orderkey, EXTRACT(DAY FROM CAST(o_orderdate AS DATE) - DATE '1992-01-01') AS d FROM orders WHERE o_orderdate - TIMESTAMP '1992-01-01 00:00:00' > INTERVAL '100' DAY",
+    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS INTEGER) AS d FROM orders WHERE o_orderdate > TIMESTAMP '1992-01-01 00:00:00' + INTERVAL 100 DAY")
+add("timestamp_units", """
+    SELECT o_orderkey, TIMESTAMPADD(YEAR, 1, o_orderdate) AS y, TIMESTAMPADD(QUARTER, 2, o_orderdate) AS q, TIMESTAMPADD(WEEK, 3, o_orderdate) AS w, TIMESTAMPADD(MINUTE, 4, o_orderdate) AS mi, TIMESTAMPADD(SECOND, 5, o_orderdate) AS s, TIMESTAMPADD(DAY, 1, 86400) AS e,
+           TIMESTAMPDIFF(YEAR, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dy, TIMESTAMPDIFF(QUARTER, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dq, TIMESTAMPDIFF(MONTH, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dm, TIMESTAMPDIFF(WEEK, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dw,
+           TIMESTAMPDIFF(MINUTE, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS di, TIMESTAMPDIFF(SECOND, TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS ds, TIMESTAMPDIFF(NANOSECOND, TIMESTAMP '1992-01-01 00:00:00', TIMESTAMP '1992-01-01 00:00:00.000003') AS dn FROM orders""", """
+    SELECT o_orderkey, o_orderdate + INTERVAL 1 YEAR AS y, o_orderdate + INTERVAL 6 MONTH AS q, o_orderdate + INTERVAL 21 DAY AS w, o_orderdate + INTERVAL 4 MINUTE AS mi, o_orderdate + INTERVAL 5 SECOND AS s, TIMESTAMP '1970-01-03 00:00:00' AS e,
+           datesub('year', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dy, datesub('quarter', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dq, datesub('month', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dm, datesub('week', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS dw,
+           datesub('minute', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS di, datesub('second', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS ds, CAST(3000 AS BIGINT) AS dn FROM orders""")
+add("string_edges", "SELECT n_nationkey, REPLACE(n_name, '', 'x') AS r, n_name || NULL AS n, SUBSTRING(n_name FROM 40) AS s, POSITION('' IN n_name) AS p, TRIM('  a ') AS t, UPPER(NULLIF(n_name, 'CHINA')) AS u FROM nation",
+    "SELECT n_nationkey, n_name AS r, CAST(NULL AS VARCHAR) AS n, '' AS s, 1 AS p, 'a' AS t, UPPER(NULLIF(n_name, 'CHINA')) AS u FROM nation")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Set only on sessions that are made here; queries don't depend on them.
 CONF = {
@@ -38,3 +40,29 @@ def ship(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, here)))
+
+
+def branch(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    """A session with settings of its own that knows the views and functions of ``spark``; its frames keep the settings."""
+    out = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in conf.items():
+        out.conf.set(key, value)
+    return out
+
+
+def at_home(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """The frame as one of ``spark``, whatever session it was made in."""
+    if frame.sparkSession is spark:
+        return frame
+    plan = frame._jdf.queryExecution().logical()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: under ``spark.checkpoint.dir``, or for a local master a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/engine/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='quarry-engine-')}"

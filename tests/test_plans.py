@@ -37,14 +37,32 @@ def test_shapes(spark, sql, has, lacks):
     assert has in text and lacks not in text
 
 
-def test_broadcast_is_steered(spark):
+def test_options_reach_the_plan(spark):
     sql = "SELECT c.c_custkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"
     engine = engine_for(spark, SF, sql)
-    frame = engine.sql(sql, config_options={"sql.join.broadcast": False})
-    assert frame.count() == engine.sql(sql).count()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "SortMergeJoin" in plan_text(engine.sql(sql))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in plan_text(engine.sql(sql))
+    never = engine.sql(sql, config_options={"sql.join.broadcast": False})
+    assert "SortMergeJoin" in plan_text(never) and "BroadcastHashJoin" in plan_text(engine.sql(sql))
+    assert never.count() == engine.sql(sql).count()
+    deal = "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey"
+    assert "hashpartitioning(c_nationkey#" in plan_text(engine.sql(deal)) and ", 3)" in plan_text(engine.sql(deal, config_options={"sql.aggregate.split_out": 3}), "simple").replace(", ENSURE_REQUIREMENTS", ")")
+    scan = "SELECT c_custkey FROM customer WHERE c_acctbal > 0"
+    assert pushed_filters(engine.sql(scan))
+    engine.config["sql.join.broadcast"] = False  # of the engine; the session is left alone
+    assert "SortMergeJoin" in plan_text(engine.sql(sql)) and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    engine.sql("CREATE TABLE kept AS (SELECT * FROM customer)", config_options={"sql.aggregate.split_out": 3})
+    assert engine.sql("SELECT COUNT(*) AS n FROM kept").first().n == engine.sql("SELECT COUNT(*) AS n FROM customer").first().n
+
+
+def test_options_of_file_and_environment(spark, tmp_path, monkeypatch):
+    from quarry.plans.settings import defaults, settings
+
+    path = tmp_path / "options.json"
+    path.write_text('{"quarry": {"sql": {"join": {"broadcast": false}, "aggregate": {"split_out": 5}}}}')
+    monkeypatch.setenv("QUARRY_CONFIG", str(path))
+    monkeypatch.setenv("QUARRY__SQL__AGGREGATE__SPLIT_OUT", "7")
+    assert defaults() == {"sql.join.broadcast": False, "sql.aggregate.split_out": 7}
+    assert settings(defaults()) == {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "7"}
+    sql = "SELECT c.c_custkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"
+    assert "SortMergeJoin" in plan_text(engine_for(spark, SF, sql).sql(sql))
+    with pytest.warns(UserWarning, match="no meaning"):
+        settings({"sql.optimize": True})
