@@ -67,8 +67,8 @@ add("division_levels", """
     WITH c AS (SELECT l_orderkey // 7 AS q FROM lineitem)
     SELECT q, COUNT(*) AS n, CAST(SUM(l_linenumber) // COUNT(*) AS BIGINT) AS m, CAST(trunc(MAX(l_linenumber / 2.0) + 1) AS BIGINT) AS x FROM (SELECT c.q, l.l_linenumber FROM c JOIN (SELECT DISTINCT l_orderkey // 7 AS q, l_linenumber FROM lineitem) l ON c.q = l.q) t GROUP BY q
     UNION ALL SELECT CAST(3 AS BIGINT), COUNT(*), CAST(4 AS BIGINT), CAST(1 AS BIGINT) FROM region""")
-add("division_by_zero", "SELECT n_nationkey, n_nationkey / n_regionkey AS q, n_nationkey * 1.5 / (n_regionkey - 1) AS f, n_nationkey % n_regionkey AS r, MOD(n_nationkey, n_regionkey) AS m FROM nation WHERE n_nationkey / 5 > 0.3",
-    "SELECT n_nationkey, CAST(n_nationkey // nullif(n_regionkey, 0) AS BIGINT) AS q, CAST(round(n_nationkey * 1.5 / nullif(n_regionkey - 1, 0), 6) AS DECIMAL(19, 6)) AS f, n_nationkey % nullif(n_regionkey, 0) AS r, CAST(n_nationkey % nullif(n_regionkey, 0) AS BIGINT) AS m FROM nation WHERE n_nationkey / 5.0 > 0.3")
+add("division_by_zero", "SELECT n_nationkey, n_nationkey / n_regionkey AS q, ROUND(n_nationkey * 1.5 / (n_regionkey - 1), 6) AS f, n_nationkey % n_regionkey AS r, MOD(n_nationkey, n_regionkey) AS m FROM nation WHERE n_nationkey / 5 > 0.3",
+    "SELECT n_nationkey, CAST(n_nationkey // nullif(n_regionkey, 0) AS BIGINT) AS q, round(CAST(n_nationkey * 1.5 AS DOUBLE) / nullif(n_regionkey - 1, 0), 6) AS f, n_nationkey % nullif(n_regionkey, 0) AS r, CAST(n_nationkey % nullif(n_regionkey, 0) AS BIGINT) AS m FROM nation WHERE n_nationkey / 5.0 > 0.3")
 add("qualify", "SELECT user_id, event_id, value FROM events WHERE value > 5 QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 2")
 add("qualify_distinct", "SELECT DISTINCT c_nationkey, RANK() OVER w AS r FROM customer QUALIFY RANK() OVER w < 4 WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)",
     "SELECT DISTINCT c_nationkey, CAST(RANK() OVER w AS INTEGER) AS r FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) QUALIFY RANK() OVER w < 4")

@@ -73,6 +73,28 @@ def udaf_window(engine):
     return engine.sql("SELECT c_custkey, SPREAD(c_acctbal) OVER (PARTITION BY c_nationkey) AS x FROM customer")
 
 
+class MeanOfSquares:
+    """An aggregation in steps: sums and counts of each chunk, then of chunks, then their ratio."""
+
+    @staticmethod
+    def chunk(g):
+        return g.agg(lambda s: (s * s).sum()), g.count()
+
+    @staticmethod
+    def agg(total, count):
+        return total.sum(), count.sum()
+
+    @staticmethod
+    def finalize(total, count):
+        return total / count
+
+
+@query("SELECT l_returnflag, l_suppkey, AVG(l_quantity * l_quantity) AS x, AVG(l_tax * l_tax) AS y FROM lineitem WHERE l_linenumber > 1 GROUP BY l_returnflag, l_suppkey", tables="lineitem")
+def udaf_in_steps(engine):
+    engine.register_aggregation(MeanOfSquares(), "mean_sq", [("x", np.float64)], np.float64)
+    return engine.sql("SELECT l_returnflag, l_suppkey, MEAN_SQ(l_quantity) AS x, mean_sq(l_tax) AS y FROM lineitem WHERE l_linenumber > 1 GROUP BY l_returnflag, l_suppkey")
+
+
 @query("SELECT p_partkey, ROUND(1.0 * (regr_slope(p_retailprice, p_size) OVER () * p_size + regr_intercept(p_retailprice, p_size) OVER ()), 2) AS t FROM part", tables="part")
 def predict_model(engine):
     engine.sql("CREATE MODEL price WITH (model_class = 'LinearRegression', target_column = 'p_retailprice') AS (SELECT p_size, p_retailprice FROM part)")

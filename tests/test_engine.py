@@ -149,6 +149,14 @@ def test_functions(engine):
 
     engine.register_aggregation(Steps(), "total", [("x", np.int64)], np.int64)
     assert rows(engine.sql("SELECT total(i) AS x FROM t2")) == [(24,)]
+    assert rows(engine.sql("SELECT a, COUNT(*) AS n, total(i) AS x FROM t2 GROUP BY a ORDER BY a")) == [(1, 1, 7), (2, 2, 17)]
+    assert rows(engine.sql("SELECT total(i) AS x FROM t2 WHERE i > 100")) == [(None,)]
+    by = engine.sql("SELECT NULLIF(a, 1) AS k, s, total(i) AS x FROM (SELECT t2.a, t2.i, df.s FROM t2 LEFT JOIN df ON t2.a = df.a AND t2.i < 9) t GROUP BY NULLIF(a, 1), s")
+    assert sorted(map(str, rows(by))) == sorted(map(str, [(None, "a b", 7), (2, "x\\y", 8), (2, None, 9)]))
+    both = engine.sql("SELECT a, span(i) AS d, SUM(i) / COUNT(*) AS m, total(i) AS x FROM t2 GROUP BY a ORDER BY a DESC LIMIT 1")
+    assert rows(both) == [(2, 1.0, 8, 17)]
+    plan = engine.explain("SELECT a, total(i) AS x FROM t2 GROUP BY a")
+    assert "MapInArrow" in plan and "ArrowAggregatePython" not in plan and "AggregateInPandas" not in plan
 
 
 def test_models(engine, tmp_path):
