@@ -153,7 +153,7 @@ def _create(engine: Engine, words: Words) -> None:
         given = options(words.group())
         words.end()
         if "location" not in given:
-            raise AttributeError("Parameters must include a 'location' parameter.")
+            raise AttributeError("location is missing: it says where the table's data are")
         location, form = given.pop("location"), given.pop("format", None)
         persist, gpu = bool(given.pop("persist", False)), bool(given.pop("gpu", False))
         engine.create_table(own, location, format=form, persist=persist, gpu=gpu, schema_name=schema, **given)

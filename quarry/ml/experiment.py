@@ -13,9 +13,14 @@ from pyspark.ml import evaluation as E
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.ml.names import DRIVER_ROWS, PARAMETERS, in_driver, is_spark, make
+from quarry.ml.names import DRIVER_ROWS, NO_CLASS, PARAMETERS, in_driver, is_spark, make
 from quarry.ml.train import stages
 
+# Sentences that clients look for.
+NO_MODEL = "Parameters must include a 'model_class' or 'automl_class' parameter."
+NO_SEARCH = "Parameters must include a 'experiment_class' parameter for tuning {}."
+NO_TARGET = "Unsupervised Algorithm cannot be tuned Automatically, a 'target_column' tells what to predict"
+
 #: Names of searches: by folds, or by one split.
 SEARCHES = {"GridSearchCV": CrossValidator, "RandomizedSearchCV": CrossValidator, "CrossValidator": CrossValidator, "TrainValidationSplit": TrainValidationSplit}
 
@@ -41,25 +46,28 @@ def experiment(spark: SparkSession, options: dict[str, Any], frame: DataFrame) -
     tune, more = dict(options.pop("tune_parameters", {}) or {}), dict(options.pop("experiment_kwargs", {}) or {})
     automl_options = dict(options.pop("automl_kwargs", {}) or {})
     options.pop("tune_fit_kwargs", None)
-    # Clients look for the next three sentences.
     if not target:
-        raise ValueError("Unsupervised Algorithm cannot be tuned Automatically; give a 'target_column'.")
+        raise ValueError(NO_TARGET)
     columns = [c for c in frame.columns if c != target]
     if automl:
         module, _, own = automl.rpartition(".")
-        found = getattr(importlib.import_module(module), own)(**automl_options)
+        try:
+            kind = getattr(importlib.import_module(module), own)
+        except (ImportError, AttributeError, ValueError) as error:
+            raise ValueError(NO_CLASS.format("automl model", automl)) from error
+        found = kind(**automl_options)
         rows = in_driver(frame, int(more.get("driver_rows", DRIVER_ROWS)))
         found.fit(rows[columns], rows[target])
         tried = getattr(found, "evaluated_individuals_", {})
         results = [(str(k), str(v)) for k, v in tried.items()]
         return getattr(found, "fitted_pipeline_", found), columns, spark.createDataFrame(results, "models string, results string")
     if not name:
-        raise ValueError("Parameters must include a 'model_class' or 'automl_class' parameter.")
+        raise ValueError(NO_MODEL)
     if not search:
-        raise ValueError(f"Parameters must include a 'experiment_class' parameter for tuning {name}.")
+        raise ValueError(NO_SEARCH.format(name))
     kind = SEARCHES.get(search.rpartition(".")[2])
     if kind is None:
-        raise ValueError(f"no search {search}")
+        raise ValueError(NO_CLASS.format("tuner", search))
     estimator = make(name, options)
     if not is_spark(estimator):
         raise NotImplementedError("searches run on pyspark.ml estimators")

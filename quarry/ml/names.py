@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# Fixed value: a sentence that clients look for.
+NO_CLASS = "Can not import {} {}. Make sure you spelled it correctly and have installed all packages."
 # Names that other libraries use, and the estimator of ``pyspark.ml`` that does the same.
 CLASSES = {
     "LinearRegression": "regression.LinearRegression", "Ridge": "regression.LinearRegression", "Lasso": "regression.LinearRegression", "GeneralizedLinearRegression": "regression.GeneralizedLinearRegression",
@@ -34,7 +36,7 @@ def find_class(name: str) -> type:
             return getattr(importlib.import_module(module), own)
         except (ImportError, AttributeError):
             continue
-    raise ValueError(f"Can not import model {name}. Make sure you spelled it correctly and have installed all packages.")
+    raise ValueError(NO_CLASS.format("model", name))
 
 
 def make(name: str, parameters: dict[str, Any]) -> Any:

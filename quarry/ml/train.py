@@ -30,7 +30,7 @@ def train(options: dict[str, Any], frame: DataFrame) -> tuple[Any, list[str]]:
     """The fitted model, and the columns that it was trained on."""
     options = dict(options)
     if "model_class" not in options:
-        raise ValueError("Parameters must include a 'model_class' parameter.")  # fixed value: clients look for this sentence
+        raise ValueError("model_class is missing: it names the model to fit")
     name, target = options.pop("model_class"), options.pop("target_column", "") or None
     wrap_predict, wrap_fit = bool(options.pop("wrap_predict", False)), bool(options.pop("wrap_fit", False))
     most = int(options.pop("driver_rows", DRIVER_ROWS))

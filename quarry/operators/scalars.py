@@ -55,3 +55,5 @@ add("timestamp_units", """
            datesub('minute', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS di, datesub('second', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS ds, CAST(3000 AS BIGINT) AS dn FROM orders""")
 add("string_edges", "SELECT n_nationkey, REPLACE(n_name, '', 'x') AS r, n_name || NULL AS n, SUBSTRING(n_name FROM 40) AS s, POSITION('' IN n_name) AS p, TRIM('  a ') AS t, UPPER(NULLIF(n_name, 'CHINA')) AS u FROM nation",
     "SELECT n_nationkey, n_name AS r, CAST(NULL AS VARCHAR) AS n, '' AS s, 1 AS p, 'a' AS t, UPPER(NULLIF(n_name, 'CHINA')) AS u FROM nation")
+add("ceil_floor_fine", "SELECT event_id, FLOOR(ts TO MILLISECOND) AS a, CEIL(ts TO MILLISECOND) AS b, FLOOR(ts TO MICROSECOND) AS c, FLOOR(ts TO MINUTE) AS d FROM events", """
+    SELECT event_id, date_trunc('millisecond', ts) AS a, CASE WHEN ts = date_trunc('millisecond', ts) THEN ts ELSE date_trunc('millisecond', ts) + INTERVAL 1 MILLISECOND END AS b, ts AS c, date_trunc('minute', ts) AS d FROM events""")

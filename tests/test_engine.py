@@ -293,3 +293,35 @@ def test_show_models_learns_from_the_whole_table(spark):
     fitted = [m[0] if isinstance(m, tuple) else m for m in (engine.schema().models["m"], engine.schema().models["price"])]
     a, b = (m.stages[-1] for m in fitted)
     assert a.intercept == pytest.approx(b.intercept) and list(a.coefficients) == pytest.approx(list(b.coefficients))
+
+
+def test_searches_and_their_errors(engine):
+    made = "CREATE EXPERIMENT e WITH ({}) AS (SELECT a, i FROM t2)"
+    cases = [
+        ("target_column = 'i'", "'model_class' or 'automl_class'"), ("model_class = 'LinearRegression', target_column = 'i'", "'experiment_class'"),
+        ("model_class = 'LinearRegression', experiment_class = 'no.such.Search', target_column = 'i'", "Can not import tuner no.such.Search"),
+        ("automl_class = 'no.such.Auto', target_column = 'i'", "Can not import automl model no.such.Auto"), ("model_class = 'KMeans', experiment_class = 'GridSearchCV'", "Unsupervised Algorithm cannot be tuned Automatically,"),
+    ]
+    for options, said in cases:
+        with pytest.raises(ValueError, match=said):
+            engine.sql(made.format(options))
+
+
+def test_models_of_other_libraries_are_bounded(spark):
+    from quarry.ml.names import in_driver, result_type
+
+    assert len(in_driver(spark.range(10), 10)) == 10
+    with pytest.raises(ValueError, match="more than 9 rows"):
+        in_driver(spark.range(10), 9)
+    labelled = type("M", (), {"classes_": np.array([1, 2])})()
+    assert [result_type(None, np.array([1])), result_type(labelled, np.array([1])), result_type(None, np.array(["x"])), result_type(None, np.zeros((1, 2)))] == ["double", "bigint", "string", "array<double>"]
+
+
+def test_random_settings_are_drawn_without_repeats():
+    import random
+
+    from quarry.ml.experiment import drawn
+
+    found = drawn([[1, 2], [3, 4, 5], [6]], 4, random.Random(1))
+    assert len(set(found)) == 4 and all(a in (1, 2) and b in (3, 4, 5) and c == 6 for a, b, c in found)
+    assert sorted(drawn([[1, 2], [3]], 9, random.Random(1))) == [(1, 3), (2, 3)]
