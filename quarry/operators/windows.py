@@ -32,3 +32,7 @@ add("win_single_value", "SELECT n_nationkey, SINGLE_VALUE(n_regionkey) OVER (PAR
     "SELECT n_nationkey, n_regionkey AS s, CAST(SUM(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS z, ROUND(AVG(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 6) AS a FROM nation")
 add("win_default_frame_ties", "SELECT COUNT(*) AS n, SUM(r) AS s FROM (SELECT COUNT(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS r FROM lineitem) AS t",
     "SELECT COUNT(*) AS n, CAST(SUM(r) AS BIGINT) AS s FROM (SELECT COUNT(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM lineitem) AS t")
+add("win_groups_frame", """
+    SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS a,
+           ROUND(SUM(value) OVER (PARTITION BY user_id ORDER BY event_type DESC GROUPS BETWEEN CURRENT ROW AND 1 FOLLOWING), 4) AS b, MIN(e.event_id) OVER (PARTITION BY user_id ORDER BY event_type GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c
+    FROM events e WHERE value > 3""")
