@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,14 @@ def test_matches_every_place():
         assert lexicon.measure(text) == pytest.approx(plain(lexicon, text))
 
 
+def test_long_texts_in_linear_time():
+    lexicon = tox.Lexicon({"idiot": 4.0, "clown": 1.5}, ("class clown", "sore loser"))
+    start = time.time()
+    assert lexicon.measure("class clown 1d10t " * 40_000) == (160_000.0, 40_000, 120_000)
+    assert lexicon.measure("x" * 3_000_000 + " clown") == (1.5, 1, 2) and lexicon.measure("idiot" * 200_000)[1] == 1
+    assert len(lexicon.phrases("so clown here " * 40_000)) == 2 and time.time() - start < 20
+
+
 def test_learns_words_and_stems(spark):
     rng = np.random.default_rng(7)
     common = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "tu") for b in ("ra", "son", "tin", "vel", "zor", "min")]
@@ -49,12 +59,16 @@ def test_learns_words_and_stems(spark):
                 words.insert(rng.integers(0, len(words)), str(rng.choice(["Blort", "snarkel" + str(rng.choice(common)), "bl0rt"])))
         docs.append((i, " ".join(words)))
         labels.append((i, int(bad)))
+    for i in range(3000, 3030):  # harmless around a word that is toxic elsewhere
+        docs.append((i, " ".join([*rng.choice(common, 30), "the Blort machine", *rng.choice(common, 30)])))
+        labels.append((i, 0))
     docs += [(2000, None), (2001, ""), (None, "blort blort"), (5, "repeated id")]
     labels += [(2000, 0), (2001, None), (None, 1), (9999, 1)]
     docs = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "0.5D as score", "'x' as label")
     labels = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     lexicon = tox.learn(tox.sample(docs, labels, F.expr("doc_id % 3 <> 1")))
     assert "blort" in lexicon.weights and any("snarkel".startswith(k) or k.startswith("snarkel") for k in lexicon.weights)
+    assert "blort machine" in lexicon.exceptions and lexicon.measure("a blort machine")[1] == 0 and lexicon.measure("a blort")[1] == 1
     got = tox.scored(docs, lexicon)
     assert got.count() == docs.count()
     rows = {r.doc_id: r for r in got.collect()}
