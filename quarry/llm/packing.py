@@ -1,27 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
 Documents are tokenised, closed by one id and cut where they exceed the
-capacity (the first piece takes the remainder).  Lengths and gaps are whole
-numbers up to the capacity, so the range-sorted documents and the range-sorted
-gaps are runs of equals, and a bulk-synchronous round treats a run at once:
-
-1. one pass tokenises and writes the pieces, each with its rank among the
-   pieces of its length in its partition; partition counts by length, summed
-   in partition order, make that a rank among all pieces of the length;
-2. lengths go from the longest to the shortest.  A successor sweep offers the
-   run of documents to the smallest gap that holds them, then to the next;
-   where documents and gaps compete, ranks decide: the lowest ranks take the
-   gaps of the lowest sequences, the rest goes on; gaps are updated and the
-   next round begins.  Documents that no gap holds open new sequences;
-3. each piece finds its place by length and rank.
-
-Step 2 is one sequential loop over the lengths in the driver's Python (``plan``), from the counts by length alone; no
-Spark job sweeps, settles conflicts or updates gaps.  It stands in for distributed rounds because the
-counts are at most one row per length whatever the input.  The rounds are best-fit decreasing on runs.  A run of gaps is split at most
-three times a length and each visit more than halves its gap, so the plan has
-at most 3 * capacity * log2(capacity) rows whatever the number of documents (67,584 for 2048):
-that is what is broadcast.  Pieces themselves never leave the executors, and
-no key but (partition, length) is shuffled.
+capacity (the first piece takes the remainder); one pass writes the pieces.  Pieces of the whole
+capacity are sequences by themselves.  The others are placed by bulk-synchronous best fit (``rounds``): range-sorted
+with the gaps of open sequences, matched by sweeps over ranges, conflicts settled by rank, gaps
+updated, and again.  No piece leaves the executors, and no key is shared by many rows: pieces go by number.
 
 Defined results: a null or empty text is the closing id alone; rows that
 repeat an id are packed one by one; an empty table gives no pieces.
@@ -29,7 +12,6 @@ repeat an id are packed one by one; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import bisect
 import json
 import re
 import zlib
@@ -38,11 +20,12 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Memo, pieces
 from quarry.llm.common import id_type, map_batches, materialize
+from quarry.llm.rounds import place
 
 
 def _byte_letters() -> dict[str, int]:
@@ -132,18 +115,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def cut_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, dealt, place`` (and ``ids``).
-
-    ``dealt`` and ``place``: the partition, and the rank among its pieces of that length.
-    """
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, key`` (and ``ids``); ``key`` numbers the pieces."""
     with open(path, encoding="utf-8") as file:
         source = docs.sparkSession.sparkContext.broadcast(file.read())
     close = np.array([end_id], np.uint32).tobytes()
 
     def make():
-        own, seen, dealt = tokenizer(source.value), defaultdict(int), TaskContext.get().partitionId()
+        own, first = tokenizer(source.value), TaskContext.get().partitionId() << 40
 
         def one(batch: pa.RecordBatch) -> dict:
+            nonlocal first
             out = defaultdict(list)
             rows = []
             for row, t in enumerate(batch.column(1)):
@@ -151,108 +132,28 @@ def cut_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: i
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append(row)
-                    for name, value in (("piece", k), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(part)), ("place", seen[length])):
+                    for name, value in (("piece", k), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(part))):
                         out[name].append(value)
-                    seen[length] += 1
                     if with_ids:
                         out["ids"].append(np.frombuffer(part, np.int32))
-            return {**out, "doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "dealt": np.full(len(rows), dealt)}
+            first += len(rows)
+            return {**out, "doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "key": np.arange(first - len(rows), first)}
 
         return one
 
-    schema = f"doc_id {id_type(docs, id)}, piece int, start bigint, length bigint, ids_crc32 bigint, dealt bigint, place bigint" + ", ids array<int>" * with_ids
+    schema = f"doc_id {id_type(docs, id)}, piece int, start bigint, length bigint, ids_crc32 bigint, key bigint" + ", ids array<int>" * with_ids
     return map_batches(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), schema, make)
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
-    """Places for ``counts[length]`` pieces, and the number of sequences.
-
-    For each length rows (rank, each, sequence, offset): from ``rank`` on,
-    every ``each`` pieces go to the next sequence, from ``sequence`` on,
-    side by side from ``offset``.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, number)
-    present: list[int] = []  # its keys in order
-    out: dict[int, list[tuple[int, int, int, int]]] = {}
-    opened = 0
-
-    def leave(gap: int, run: tuple[int, int]) -> None:
-        if gap and run[1]:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(present, gap)
-            gaps[gap].append(run)
-
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        left, rank, rows = counts[length], 0, []
-
-        def place(first: int, number: int, gap: int, left: int, rank: int, rows: list = rows, length: int = length) -> tuple[int, int]:
-            """Fill ``number`` sequences that have ``gap``; what stays open goes back."""
-            each = gap // length
-            full = min(number, left // each)
-            if full:
-                rows.append((rank, each, first, capacity - gap))
-                leave(gap - each * length, (first, full))
-                left, rank = left - full * each, rank + full * each
-            if left and full < number:
-                rows.append((rank, left, first + full, capacity - gap))
-                leave(gap - left * length, (first + full, 1))
-                full, rank, left = full + 1, rank + left, 0
-            leave(gap, (first + full, number - full))
-            return left, rank
-
-        sweep = [g for g in present[bisect.bisect_left(present, length) :]]
-        for gap in sweep:
-            if not left:
-                break
-            runs = sorted(gaps.pop(gap))
-            present.remove(gap)
-            for first, number in runs:
-                if left:
-                    left, rank = place(first, number, gap, left, rank)
-                else:
-                    leave(gap, (first, number))
-        if left:
-            number = -(-left // (capacity // length))
-            place(opened, number, capacity, left, rank)
-            opened += number
-        out[length] = rows
-    return out, opened
-
-
 def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``)."""
     cuts = materialize(cut_documents(docs, path, capacity=capacity, end_id=end_id, with_ids=with_ids, text=text, id=id))
-    by_part = materialize(cuts.groupBy("dealt", "length").agg(F.count(F.lit(1)).alias("n")))
-    totals = by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()  # one row per length
-    rows, _ = plan({r.length: r.n for r in totals}, capacity)
-    sent = docs.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).reshape(-1, 4).T for k, v in rows.items()})
-    earlier = Window.partitionBy("length").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_part.select(F.col("dealt").alias("d"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    # The bases grow with the partitions: never broadcast.
-    ranked = cuts.join(bases.hint("merge"), (F.col("dealt") == F.col("d")) & (F.col("length") == F.col("l"))).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"), *(["ids"] if with_ids else []))
-
-    names = ranked.columns
-
-    def make():
-        places = sent.value
-
-        def one(batch: pa.RecordBatch) -> dict:
-            length, rank = (batch.column(k).to_numpy() for k in (3, 5))
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for own in np.unique(length):
-                here = length == own
-                first, each, seq, off = places[int(own)]
-                at = np.searchsorted(first, rank[here], side="right") - 1
-                nth = rank[here] - first[at]
-                sequence[here] = seq[at] + nth // each[at]
-                offset[here] = off[at] + nth % each[at] * own
-            return {n: batch.column(k) for k, n in enumerate(names)} | {"sequence_id": sequence, "offset": offset}
-
-        return one
-
-    schema = f"doc_id {id_type(docs, id)}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
-    return map_batches(ranked, schema, make)
+    short = cuts.where(F.col("length") < capacity)
+    places = place(short.select("key", F.col("length").cast("double").alias("size")), float(capacity)).withColumnRenamed("key", "of")
+    columns = [F.col(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+    ids = [F.col("ids")] if with_ids else []
+    whole = cuts.where(F.col("length") == capacity).select(*columns, F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), *ids)
+    return whole.unionAll(short.join(places, F.col("key") == F.col("of")).select(*columns, "sequence_id", F.col("offset").cast("bigint").alias("offset"), *ids))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
