@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, packing, pii, simhash, toxicity
-from quarry.llm.common import materialize, quoted, table, unused
+from quarry.llm.common import materialize, quoted, released, table, unused
 from quarry.llm.queries import pii_key
 
 
@@ -68,8 +68,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir))
+        if k:
+            released(docs)  # its successor is written
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
