@@ -1,14 +1,14 @@
 """Best-fit packing in bulk-synchronous rounds, for sizes of any kind: whole numbers beyond counting, or fractions.
 
 A round range-sorts open documents and gaps together, the largest first and gaps before documents of their
-size.  A sweep down this order gives each document its best fit, the smallest gap at or above it that no larger document
-has taken: the last gap met and not yet taken.  Within a range that is a stack; between ranges what a range leaves
-open has a depth, the rank that settles who gets what: a document takes the last gap before it at its
-depth.  Gaps are updated, documents that no gap holds open new sequences - those over half the
-capacity, else as many of the longest as the volume needs - and the next round begins; one that some gap holds by then waits.
+size.  A sweep down each range gives each document its best fit, the smallest gap that the sweep has met and that holds it; what is
+left of a gap goes on in the same sweep.  Between ranges, what a range leaves open has a depth, the rank that settles who gets what:
+a document without a gap takes the last gap before it at its depth.  Gaps are updated, and such a gap goes to the range of the documents that
+asked for it.  Documents that no gap holds by then open new sequences - those over half the
+capacity, else as many of the longest as the volume needs - and the next round begins.
 
-A round moves open documents and gaps twice, by range and by depth, and the driver sees two counts of each range.  A gap takes one
-document a round, so rounds are about as many as documents in a sequence.
+A round moves open documents and gaps twice, by range and by depth, and the driver sees two counts of each range.  Within a range
+a gap takes any number of documents in a round.
 
 Defined results: a null size counts as 0; a size over the capacity is an error; an empty table gives no rows; ties go by the
 numbers that rows get when they are first written.
@@ -16,6 +16,7 @@ numbers that rows get when they are first written.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,34 +27,46 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, released, unused
 
-_SWEPT = "part int, kind int, key bigint, size double, mate bigint, gap double, place bigint"
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the gaps that they take within the range, and what is left of both with its place from the open end."""
-    part, names = TaskContext.get().partitionId(), ["part", "kind", "key", "size", "mate", "gap", "place"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
-    stack: list[tuple[int, float]] = []
-    lone = 0
-
-    def given(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    for batch in batches:
-        rows = []
-        for size, kind, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not kind:
-                stack.append((key, size))
-            elif stack:
-                mate, gap = stack.pop()
-                rows.append((part, 1, key, size, mate, gap, None))
-            else:
-                rows.append((part, 1, key, size, None, None, lone))
-                lone += 1
-        if rows:
-            yield given(rows)
-    for start in range(0, len(stack), 10_000):
-        yield given([(part, 0, key, gap, None, None, start + k) for k, (key, gap) in enumerate(stack[start : start + 10_000])])
+_SWEPT = "part int, kind int, key bigint, size double, mate bigint, offset double, place bigint"
+
+
+def _sweep(capacity: float):
+    """Documents (kind 1) with the gaps that they take within the range, and what is left of both, with its place from the open end where another range may have use for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, names = TaskContext.get().partitionId(), ["part", "kind", "key", "size", "mate", "offset", "place"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
+        gaps: list[tuple[float, int]] = []  # in order
+        lone, low = 0, capacity
+
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            rows = []
+            for low, kind, key, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not kind:
+                    insort(gaps, (size, key))
+                    continue
+                at = bisect_left(gaps, (size, -1))
+                if at == len(gaps):
+                    rows.append((part, 1, key, size, None, None, lone))
+                    lone += 1
+                    continue
+                gap, mate = gaps.pop(at)
+                rows.append((part, 1, key, size, mate, capacity - gap, None))
+                if gap > size:
+                    insort(gaps, (gap - size, mate))
+            if rows:
+                yield given(rows)
+        # Ranges to come hold documents of at most ``low``: gaps below rest for a round.
+        first = bisect_left(gaps, (low, -1))
+        left = [(part, 0, key, gap, None, None, None) for gap, key in gaps[:first]]
+        left += [(part, 0, key, gap, None, None, k) for k, (gap, key) in enumerate(reversed(gaps[first:]))]
+        for start in range(0, len(left), 10_000):
+            yield given(left[start : start + 10_000])
+
+    return run
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,40 +105,44 @@ def _depths(tallies: dict[int, tuple[int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _longest(alone: DataFrame, number: int, of: int) -> Column:
-    """About ``number`` of the longest documents, one at least; of those of the last size a share, by hash."""
+    """About ``number`` of the longest documents, at least one; of those of the last size a share, by hash."""
     size = F.col("size")
     least = alone.agg(F.percentile_approx("size", max(0.0, 1 - number / of), 10_000).alias("x")).first().x
     told = alone.agg(F.count_if(size > least).alias("over"), F.count_if(size == least).alias("at"), F.min(F.when(size == least, F.col("key"))).alias("first")).first()
     share = max(0.0, number - told.over) / max(1, told.at)
-    return (size > least) | (size == least) & ((F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)) | (F.col("key") == told.first))
+    return (size > least) | (size == least) & ((F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)) | F.lit(not told.over) & (F.col("key") == told.first))
 
 
 def place(left: DataFrame, capacity: float) -> DataFrame:
     """``key, sequence_id, offset`` for ``left(key, size)``, which is read from files; a sequence bears the key of its first document."""
     spark = left.sparkSession
-    gaps = spark.createDataFrame([], "key bigint, gap double")
+    gaps = spark.createDataFrame([], "key bigint, gap double, at double")
     placed, past, least = [], [], 0.0
     while True:
-        events = left.select("size", F.lit(1).alias("kind"), "key").unionAll(gaps.where(F.col("gap") >= least).select("gap", F.lit(0), "key"))
-        order = [F.desc("size"), F.asc("kind"), F.asc("key")]
-        swept = materialize(events.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT))
-        alone = swept.where("mate is null")
+        events = left.select(F.col("size").alias("at"), F.lit(1).alias("kind"), "key", "size").unionAll(gaps.where(F.col("gap") >= least).select("at", F.lit(0), "key", "gap"))
+        order = [F.desc("at"), F.asc("kind"), F.asc("key")]
+        swept = materialize(events.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT))
+        alone, files = swept.where("mate is null and place is not null"), [swept]
         tallies = {r.part: (r.d, r.g) for r in alone.groupBy("part").agg(F.sum("kind").alias("d"), F.sum(1 - F.col("kind")).alias("g")).collect()}  # a row for each range
-        matched, files = swept.where("mate is not null").select("key", "size", "mate", "gap"), [swept]
+        taken = swept.where("mate is not null").select("key", F.col("mate").alias("sequence_id"), "offset", "size")
+        resting = swept.where("kind = 0 and place is null").select("key", F.col("size").alias("gap"), F.col("size").alias("at"))
+        within = taken.limit(0)
         if len(tallies) > 1:
             depths = F.broadcast(spark.createDataFrame(_depths(tallies), "of int, before bigint, below bigint"))
             level = F.when(F.col("kind") == 0, F.col("below") + F.col("place")).otherwise(F.col("before") - 1 - F.col("place"))
             deep = alone.join(depths, F.col("part") == F.col("of")).withColumn("level", level)
-            within = deep.where("level >= 0").repartition("level").sortWithinPartitions("level", "part", F.desc("kind")).select("level", "kind", "key", "size")
-            met = materialize(within.mapInArrow(_settle, "kind int, key bigint, size double, mate bigint, gap double"))
-            matched = matched.unionAll(met.where("kind = 1").select("key", "size", "mate", "gap"))
+            settled = deep.where("level >= 0").repartition("level").sortWithinPartitions("level", "part", F.desc("kind")).select("level", "kind", "key", "size")
+            met = materialize(settled.mapInArrow(_settle, "kind int, key bigint, size double, mate bigint, gap double"))
+            within = met.where("kind = 1").select("key", F.col("mate").alias("sequence_id"), (capacity - F.col("gap")).alias("offset"), "size")
             kept, alone = met.where("kind = 0"), deep.where("kind = 1 and level < 0")
             files.append(met)
         else:  # in one range nothing is left to settle
             kept, alone = alone.where("kind = 0"), alone.where("kind = 1")
-        taken = matched.select("key", F.col("mate").alias("sequence_id"), (capacity - F.col("gap")).alias("offset"), "size")
-        kept, alone = kept.select("key", F.col("size").alias("gap")), alone.select("key", "size")
-        widest = taken.select((capacity - F.col("offset") - F.col("size")).alias("gap")).unionAll(kept.select("gap")).agg(F.max("gap")).first()[0]
+        rest = capacity - F.col("offset") - F.col("size")
+        kept = kept.select("key", F.col("size").alias("gap"), F.col("size").alias("at")).unionAll(resting)
+        kept = kept.unionAll(within.select(F.col("sequence_id").alias("key"), rest.alias("gap"), F.least(rest, "size").alias("at"))).where("gap > 0")
+        alone = alone.select("key", "size")
+        widest = kept.agg(F.max("gap")).first()[0]
         # What fits a gap as it is by now waits for the next round.
         widest = -1.0 if widest is None else widest
         over, large = F.col("size") > widest, F.col("size") > max(widest, capacity / 2)
@@ -133,14 +150,16 @@ def place(left: DataFrame, capacity: float) -> DataFrame:
         opens = large
         if told.n and not told.large:
             opens = over & _longest(alone.where(over), int(max(1, -(-told.volume // capacity))), told.n)
-        new = materialize(taken.unionAll(alone.where(opens).select("key", F.col("key").alias("sequence_id"), F.lit(0.0).alias("offset"), "size")))
+        opened = alone.where(opens).select("key", F.col("key").alias("sequence_id"), F.lit(0.0).alias("offset"), "size")
+        new = materialize(taken.unionAll(within).unionAll(opened))
         placed.append(new.select("key", "sequence_id", "offset"))
         for done in past:
             released(done)
         past = files
         if told["all"] == told.large:  # none is left
             break
-        gaps = new.select(F.col("sequence_id").alias("key"), (capacity - F.col("offset") - F.col("size")).alias("gap")).unionAll(kept)
+        fresh = new.where("offset = 0 and key = sequence_id").select("key", rest.alias("gap"), F.when(F.col("size") > capacity / 2, rest).otherwise(F.least(rest, "size")).alias("at"))
+        gaps = kept.unionAll(fresh.where("gap > 0"))
         left, least = alone.where(~opens), told.least  # smaller gaps are of no use any more
     for done in past:
         released(done)
