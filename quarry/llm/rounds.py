@@ -5,7 +5,7 @@ size.  A sweep down each range gives each document its best fit, the smallest ga
 left of a gap goes on in the same sweep.  Between ranges, what a range leaves open has a depth, the rank that settles who gets what:
 a document without a gap takes the last gap before it at its depth.  Gaps are updated, and such a gap goes to the range of the documents that
 asked for it.  Documents that no gap holds by then open new sequences - those over half the
-capacity, else as many of the longest as the volume needs - and the next round begins.
+capacity, else as many as the volume needs, from every range - and the next round begins.
 
 A round moves open documents and gaps twice, by range and by depth, and the driver sees two counts of each range.  Within a range
 a gap takes any number of documents in a round.
@@ -22,7 +22,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, released, unused
@@ -104,15 +104,6 @@ def _depths(tallies: dict[int, tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _longest(alone: DataFrame, number: int, of: int) -> Column:
-    """About ``number`` of the longest documents, at least one; of those of the last size a share, by hash."""
-    size = F.col("size")
-    least = alone.agg(F.percentile_approx("size", max(0.0, 1 - number / of), 10_000).alias("x")).first().x
-    told = alone.agg(F.count_if(size > least).alias("over"), F.count_if(size == least).alias("at"), F.min(F.when(size == least, F.col("key"))).alias("first")).first()
-    share = max(0.0, number - told.over) / max(1, told.at)
-    return (size > least) | (size == least) & ((F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)) | F.lit(not told.over) & (F.col("key") == told.first))
-
-
 def place(left: DataFrame, capacity: float) -> DataFrame:
     """``key, sequence_id, offset`` for ``left(key, size)``, which is read from files; a sequence bears the key of its first document."""
     spark = left.sparkSession
@@ -146,10 +137,14 @@ def place(left: DataFrame, capacity: float) -> DataFrame:
         # What fits a gap as it is by now waits for the next round.
         widest = -1.0 if widest is None else widest
         over, large = F.col("size") > widest, F.col("size") > max(widest, capacity / 2)
-        told = alone.agg(F.count(F.lit(1)).alias("all"), F.min("size").alias("least"), F.count_if(over).alias("n"), F.sum(F.when(over, F.col("size"))).alias("volume"), F.count_if(large).alias("large")).first()
+        count, top = F.count(F.lit(1)), F.max(F.when(over, F.struct("size", "key")))
+        told = alone.agg(count.alias("all"), F.min("size").alias("least"), F.count_if(over).alias("n"), F.sum(F.when(over, F.col("size"))).alias("volume"), F.count_if(large).alias("large"), top.alias("top")).first()
         opens = large
         if told.n and not told.large:
-            opens = over & _longest(alone.where(over), int(max(1, -(-told.volume // capacity))), told.n)
+            # As many as the volume needs: the longest, and others by hash, each as likely as it is long, so that every range gets gaps.
+            share = max(0.0, -(-told.volume // capacity) - 1) / max(told.volume, 1e-300)
+            chosen = F.pmod(F.xxhash64("key", F.lit(len(placed))), F.lit(1 << 30)) < F.col("size") * (share * (1 << 30))
+            opens = over & (chosen | (F.col("key") == told.top.key))
         opened = alone.where(opens).select("key", F.col("key").alias("sequence_id"), F.lit(0.0).alias("offset"), "size")
         new = materialize(taken.unionAll(within).unionAll(opened))
         placed.append(new.select("key", "sequence_id", "offset"))
