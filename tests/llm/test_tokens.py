@@ -67,6 +67,23 @@ def test_tokenizer_matches_the_library():
     assert other.fast is None and other.encode_bytes("plain words")
 
 
+def test_plan_is_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        capacity = int(rng.integers(5, 60))
+        lengths = sorted(rng.integers(1, capacity + 1, rng.integers(0, 200)).tolist(), reverse=True)
+        gaps = []
+        for n in lengths:  # one document at a time
+            fits = [g for g in gaps if g >= n]
+            if fits:
+                gaps.remove(min(fits))
+                gaps.append(min(fits) - n)
+            else:
+                gaps.append(capacity - n)
+        rows, opened = packing.plan({n: lengths.count(n) for n in set(lengths)}, capacity)
+        assert opened == len(gaps)
+
+
 def test_pack_covers_every_document(spark):
     rows = list(enumerate(TEXTS)) + [(3, "again"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as offset", "2 as length").repartition(5)
