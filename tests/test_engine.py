@@ -325,3 +325,45 @@ def test_random_settings_are_drawn_without_repeats():
     found = drawn([[1, 2], [3, 4, 5], [6]], 4, random.Random(1))
     assert len(set(found)) == 4 and all(a in (1, 2) and b in (3, 4, 5) and c == 6 for a, b, c in found)
     assert sorted(drawn([[1, 2], [3]], 9, random.Random(1))) == [(1, 3), (2, 3)]
+
+
+def test_steps_take_many_groups_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import tree
+    from quarry.plans.settings import overlay
+
+    class Kinds:
+        """Sum and number of a group, told with how many groups were finished at once."""
+
+        @staticmethod
+        def chunk(g):
+            return g.sum(), g.count()
+
+        @staticmethod
+        def agg(total, count):
+            return total.sum(), count.sum()
+
+        @staticmethod
+        def finalize(total, count):
+            return total * 1000 + count + len(total) * 1e-6
+
+    frame = spark.range(0, 30_000, 1, 4).select(F.when(F.col("id") % 3 > 0, F.col("id") % 997).otherwise(F.when(F.col("id") % 2 == 0, 5)).alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    want = {r.k: r.s * 1000 + r.n for r in frame.groupBy("k").agg(F.sum("v").alias("s"), F.count("v").alias("n")).collect()}
+    for options in ({}, {"most": 700}):  # the second: many batches, and groups that span them
+        with overlay(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
+            got = {r.k: r.x for r in tree.aggregate(frame, ["k"], {"x": (Kinds, "v", "double")}, **options).collect()}
+        assert {k: int(x) for k, x in got.items()} == want
+        assert options or max(round(x % 1 * 1e6) for x in got.values()) > 20
+    whole = tree.aggregate(frame, [], {"x": (Kinds, "v", "double")}).first().x
+    assert int(whole) == sum(r for r in want.values())
+    assert tree.aggregate(frame.where("k < 0"), [], {"x": (Kinds, "v", "double")}).first().x is None
+
+
+def test_steps_finish_group_by_group_if_they_must(spark):
+    from quarry.functions import tree
+
+    alone = type("Alone", (), {"chunk": staticmethod(lambda g: g.sum()), "agg": staticmethod(lambda g: g.sum()), "finalize": staticmethod(lambda s: float(s.iloc[0]) if s.iloc[0] > 2 else None)})
+    frame = spark.createDataFrame([(0.0, 1.0), (-0.0, 4.0), (None, 1.0), (float("nan"), 1.0), (1.0, 9.0)], "k double, v double")
+    got = sorted(((str(r.k), r.x) for r in tree.aggregate(frame, ["k"], {"x": (alone, "v", "double")}).collect()), key=str)
+    assert got == [("0.0", 5.0), ("1.0", 9.0), ("None", None), ("nan", None)]
