@@ -367,3 +367,31 @@ def test_steps_finish_group_by_group_if_they_must(spark):
     frame = spark.createDataFrame([(0.0, 1.0), (-0.0, 4.0), (None, 1.0), (float("nan"), 1.0), (1.0, 9.0)], "k double, v double")
     got = sorted(((str(r.k), r.x) for r in tree.aggregate(frame, ["k"], {"x": (alone, "v", "double")}).collect()), key=str)
     assert got == [("0.0", 5.0), ("1.0", 9.0), ("None", None), ("nan", None)]
+
+
+class Seen:
+    """Counts rows and calls; its ``partial_fit`` wants the classes."""
+
+    def __init__(self):
+        self.rows, self.calls, self.classes = [], 0, None
+
+    def partial_fit(self, x, y, classes=None):
+        self.rows += list(zip(x["x"], y, strict=True))
+        self.calls, self.classes = self.calls + 1, list(classes)
+        return self
+
+    def fit(self, x, y):
+        return self.partial_fit(x, y, [])
+
+    def predict(self, x):
+        return np.full(len(x), float(len(self.rows)))
+
+
+def test_models_with_partial_fit_take_tables_of_any_size(spark):
+    engine = Engine(spark)
+    engine.create_table("many", spark.range(0, 25_000, 1, 3).selectExpr("CAST(id AS DOUBLE) AS x", "id % 3 AS y"))
+    for options, calls in ("driver_rows = 25000", 1), ("driver_rows = 24999", 3):
+        engine.sql(f"CREATE OR REPLACE MODEL seen WITH (model_class = 'test_engine.Seen', target_column = 'y', {options}) AS (SELECT x, y FROM many)")
+        model, columns = engine.model("seen")
+        assert columns == ["x"] and model.calls == calls and model.classes == ([] if calls == 1 else [0, 1, 2])
+        assert sorted(model.rows) == [(float(k), k % 3) for k in range(25_000)]
