@@ -395,3 +395,13 @@ def test_models_with_partial_fit_take_tables_of_any_size(spark):
         model, columns = engine.model("seen")
         assert columns == ["x"] and model.calls == calls and model.classes == ([] if calls == 1 else [0, 1, 2])
         assert sorted(model.rows) == [(float(k), k % 3) for k in range(25_000)]
+
+
+def test_wrapped_models_with_partial_fit_take_tables_of_any_size(spark):
+    from quarry.ml.wrappers import ParallelPostFit
+
+    data = spark.range(0, 25_000, 1, 3).selectExpr("CAST(id AS DOUBLE) AS x", "id % 3 AS y")
+    fitted = ParallelPostFit(Seen()).fit(data, "y", driver_rows=1000)
+    assert sorted(fitted.model.rows) == [(float(k), k % 3) for k in range(25_000)] and fitted.model.calls == 3 and fitted.columns == ["x"]
+    with pytest.raises(ValueError, match="more than 1000 rows"):
+        ParallelPostFit(type("Whole", (), {"fit": lambda self, x, y: self})()).fit(data, "y", driver_rows=1000)
