@@ -405,3 +405,12 @@ def test_wrapped_models_with_partial_fit_take_tables_of_any_size(spark):
     assert sorted(fitted.model.rows) == [(float(k), k % 3) for k in range(25_000)] and fitted.model.calls == 3 and fitted.columns == ["x"]
     with pytest.raises(ValueError, match="more than 1000 rows"):
         ParallelPostFit(type("Whole", (), {"fit": lambda self, x, y: self})()).fit(data, "y", driver_rows=1000)
+
+
+def test_ties_of_extremes_go_to_the_least(spark):
+    rows = [(5, 1.5, "b", 7.0), (2, -2.5, "ab", 7.0), (3, 2.5, "a", 7.0), (1, 0.5, "c", 3.0), (9, 0.1, "z", None), (None, None, None, 7.0), (10, 10.0, "q", 1.0), (9, 9.0, "p", 1.0)]
+    for order in (1, -1):  # whatever order the rows come in
+        engine = Engine(spark)
+        engine.create_table("t", spark.createDataFrame(rows[::order], "i int, d double, s string, y double").coalesce(1))
+        got = engine.sql("SELECT MAX_BY(i, y), MAX_BY(d, y), MAX_BY(s, y), MIN_BY(i, y), MIN_BY(d, y), MIN_BY(s, y), MAX_BY(CAST(d AS DECIMAL(5, 2)), y), MAX_BY(i + 1, y) FILTER (WHERE i > 2), MAX_BY(s, i) FROM t").first()
+        assert tuple(got) == (2, -2.5, "a", 9, 9.0, "p", got[6], 4, "q") and float(got[6]) == -2.5
