@@ -414,3 +414,22 @@ def test_ties_of_extremes_go_to_the_least(spark):
         engine.create_table("t", spark.createDataFrame(rows[::order], "i int, d double, s string, y double").coalesce(1))
         got = engine.sql("SELECT MAX_BY(i, y), MAX_BY(d, y), MAX_BY(s, y), MIN_BY(i, y), MIN_BY(d, y), MIN_BY(s, y), MAX_BY(CAST(d AS DECIMAL(5, 2)), y), MAX_BY(i + 1, y) FILTER (WHERE i > 2), MAX_BY(s, i) FROM t").first()
         assert tuple(got) == (2, -2.5, "a", 9, 9.0, "p", got[6], 4, "q") and float(got[6]) == -2.5
+
+
+def test_sketches_beside_distinct_counts_have_a_buffer_for_each_group(spark):
+    import re
+
+    engine = Engine(spark)
+    engine.create_table("t", spark.range(0, 6000, 1, 3).selectExpr("id % 3 AS k", "id % 700 AS y", "id % 900 AS x"))
+    alone = {r.k: (r.a, r.b, r.c) for r in engine.sql("SELECT k, APPROX_COUNT_DISTINCT(y) AS a, APPROX_COUNT_DISTINCT(x, 0.02) AS b, APPROX_COUNT_DISTINCT(y) FILTER (WHERE x > 99) AS c FROM t GROUP BY k").collect()}
+    frame = engine.sql("SELECT k, APPROX_COUNT_DISTINCT(y) + 0 AS a, APPROX_COUNT_DISTINCT(x, 0.02) AS b, APPROX_COUNT_DISTINCT(y) FILTER (WHERE x > 99) AS c, COUNT(DISTINCT y) AS n FROM t GROUP BY k")
+    assert {r.k: (r.a, r.b, r.c) for r in frame.collect()} == alone and {r.n for r in frame.collect()} == {700}
+    one = engine.sql("SELECT k, ABS(APPROX_COUNT_DISTINCT(y) - COUNT(DISTINCT y)) < 100 AS near FROM t GROUP BY k")
+    assert all(r.near for r in one.collect())
+    for plan in frame, one:
+        found = re.findall(r"Aggregate\(keys=\[([^\]]*)\], functions=\[(.*?)\], output", plan._jdf.queryExecution().executedPlan().toString())
+        assert found and any("approx" in f for _, f in found) and all("," not in keys for keys, f in found if "approx" in f)
+    # Windows take no DISTINCT, and the other side of a union needs none.
+    assert engine.sql("SELECT COUNT(DISTINCT k) AS n FROM t UNION ALL SELECT APPROX_COUNT_DISTINCT(k) FROM t").count() == 2
+    assert engine.sql("SELECT k, COUNT(DISTINCT y) AS n, MAX(APPROX_COUNT_DISTINCT(k)) OVER () AS m FROM t GROUP BY k").count() == 3
+    assert engine.sql("SELECT k, APPROX_COUNT_DISTINCT(y) OVER (PARTITION BY k) AS m FROM t WHERE k IN (SELECT COUNT(DISTINCT k) - 1 FROM t)").count() == 2000
