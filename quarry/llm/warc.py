@@ -14,6 +14,11 @@ response that a revisit refers to; one nested row per capture comes out.  Keys
 are record ids; only a response that many revisits refer to is hot, and that
 join has a plain exchange on both sides, which adaptive execution splits.
 
+Payloads never go through a shuffle: from their written table they go into the archives,
+in the tasks that read them.  Of the others these tasks need only to know whether a row is a
+revisit, one bit a row, broadcast as bitmaps of 32,768 rows (those without revisits have none).  A revisit
+carries no payload, so that its join with the row it refers to is narrow.
+
 Defined results: null html counts as an empty payload; a null or odd URL is
 percent-encoded where it would break a header; of rows that tie on the
 smallest id, one is the response; null ids come after all others; a capture
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_hot, materialize
+from quarry.llm.common import join_hot, materialize, released
 
 END = "\r\n\r\n"
 #: Bytes that are inflated at once.
@@ -61,25 +66,33 @@ def _record(kind: str, own: Column, uri: Column, date: str, content_type: str, b
 
 
 def _rows(pages: DataFrame, id: str, url: str, html: str) -> DataFrame:
-    """``row, id, uri, body, digest``, written, so that a row keeps its number whatever is computed anew."""
+    """``row, id, uri, body, size, digest``, written, so that a row keeps its number whatever is computed anew."""
     return materialize(
         pages.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), _header_text(F.col(url)).alias("uri"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("body"))
-        .withColumn("digest", F.unhex(F.sha2("body", 256)))
+        .withColumns({"size": F.octet_length("body"), "digest": F.unhex(F.sha2("body", 256))})
     )
 
 
+def _not_marked(rows: DataFrame, row: str, marked: DataFrame, of: str) -> DataFrame:
+    """``rows`` whose number is not among the ``marked``; a bit for each is broadcast, so that ``rows`` stay where they are."""
+    bits = marked.groupBy(F.bitmap_bucket_number(of).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(of)).alias("_bits"))
+    at = F.bitmap_bit_position(row)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(row) == F.col("_bucket"), "left")
+    return found.where(F.col("_bits").isNull() | (F.getbit(byte, (at % 8).cast("int")) == 0)).drop("_bucket", "_bits")
+
+
 def records(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = 100) -> DataFrame:
     """``value``: three records per page, without the end mark."""
     rows = _rows(pages, id, url, html)
     # Narrow rows tell which captures revisit which; small payloads, which may be frequent, have no part in it.
-    large = rows.where(F.octet_length("body") >= least_bytes).select("row", "id", "digest")
+    large = rows.where(F.col("size") >= least_bytes).select("row", "id", "digest")
     leads = materialize(large.groupBy(F.col("digest").alias("of")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("of", "n", F.col("lead.row").alias("lead")))
-    again = join_hot(large, "digest", leads, "of", "n", rows.count()).where("row <> lead").select(F.col("row").alias("revisit"), "lead")
-    rows = rows.join(again, F.col("row") == F.col("revisit"), "left")
-    row, body, uri = F.col("row"), F.col("body").cast("string"), F.col("uri")
+    again = materialize(join_hot(large, "digest", leads, "of", "n", rows.count()).where("row <> lead").select(F.col("row").alias("revisit"), "lead"))
+    row, body, uri, size = F.col("row"), F.col("body").cast("string"), F.col("uri"), F.col("size")
     own = _uuid(F.lit("capture"), row)
     digest = [("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.lower(F.hex("digest"))))]
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit(END))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
     response = _record("response", own, uri, date, "application/http;msgtype=response", F.concat(head, body), digest)
     refers = [("WARC-Refers-To", _uuid(F.lit("capture"), F.col("lead"))), ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))]
     revisit = _record("revisit", own, uri, date, "application/http;msgtype=response", head, digest + refers)
@@ -87,8 +100,9 @@ def records(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: st
     request = _record("request", _uuid(F.lit("request"), row), uri, date, "application/http;msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1\r\nUser-Agent: quarry{END}")), bound)
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record("metadata", _uuid(F.lit("metadata"), row), uri, date, "application/warc-fields", fields, bound)
-    capture = F.when(F.col("lead").isNull(), response).otherwise(revisit)
-    return rows.select(F.explode(F.array(request, capture, metadata)).alias("value"))
+    whole = _not_marked(rows, "row", again, "revisit").select(F.explode(F.array(request, response, metadata)).alias("value"))
+    others = rows.drop("body").join(again, F.col("row") == F.col("revisit")).select(F.explode(F.array(request, revisit, metadata)).alias("value"))
+    return whole.unionAll(others)
 
 
 def archives(found: DataFrame, archive_bytes: int) -> DataFrame:
@@ -122,8 +136,11 @@ _NOTHING = _NOTHING.compress(b"") + _NOTHING.flush()
 
 def write_archives(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, **options) -> None:
     """One archive a file; Spark's text writer, which can write wherever Spark can, passes the bytes through as they are."""
-    rows = archives(records(pages, **options), archive_bytes).select(F.col("archive").cast("string").alias("value"))
+    found = records(pages, **options)
+    rows = archives(found, archive_bytes).select(F.col("archive").cast("string").alias("value"))
     rows.write.option("lineSep", _NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    # Records read tables of their own only, and the archives hold all of them now.
+    released(found)
 
 
 def _members(data: bytes) -> Iterator[bytes]:

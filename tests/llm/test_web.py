@@ -1,8 +1,10 @@
 import gzip
 import hashlib
+import re
 
 from quarry.llm import warc
 from quarry.llm.common import scratch_path
+from quarry.plans.explain import plan_text
 
 BIG = "<html>" + "x" * 200 + "</html>"
 TRAP = BIG + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
@@ -66,3 +68,24 @@ def test_no_pages(spark):
     path = scratch_path(spark, "warc")
     warc.write_archives(pages, path)
     assert warc.capture_digests(warc.transactions(warc.read_archives(spark, path))).count() == 0
+
+
+def test_payloads_stay_where_they_are(spark):
+    pages = spark.createDataFrame(ROWS, "page_id bigint, url string, html string").repartition(3)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = [part for part in plan_text(warc.records(pages)).split("\n\n") if re.match(r"\s*\(\d+\) (Broadcast)?Exchange", part)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert moved and not any("body#" in part for part in moved)
+
+
+def test_revisits_in_every_bitmap(spark):
+    pages = spark.range(0, 70_000, 1, 2).selectExpr("id as page_id", "'u' as url", "repeat('x', 100) || id % 50000 as html")
+    path = scratch_path(spark, "warc")
+    warc.write_archives(pages, path)
+    got = warc.capture_digests(warc.transactions(warc.read_archives(spark, path, payloads=False)))
+    assert pages.count() == got.count() == 70_000
+    wrong = got.where("NOT (record_type = IF(page_id < 50000, 'response', 'revisit') AND refers_to <=> IF(page_id < 50000, NULL, page_id - 50000) AND payload_digest = sha2(repeat('x', 100) || page_id % 50000, 256))")
+    assert wrong.count() == 0
